@@ -53,6 +53,11 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def _micros_text(name: str) -> F.Column:
+    """Time as text, for columns that hold nulls."""
+    return F.unix_micros(name).cast("string").alias(name)
+
+
 def _valid(spark, d, text=False):
     return R.valid_activity(B.activity(spark, d, text))
 
@@ -80,7 +85,7 @@ def _eligible_documents(spark, d):
 
 def scan_activity(spark, d):
     rows = R.load_raw(spark, B.land_raw(spark, d))
-    return flat(rows.select("id", "kind", "author", "created_dt", "subreddit", "link_id", "parent_id", "score",
+    return flat(rows.select("id", "kind", "author", _micros_text("created_dt"), "subreddit", "link_id", "parent_id", "score",
                             F.md5("text").alias("text_md5"), F.length("text").alias("chars")))
 
 
@@ -120,7 +125,7 @@ def normalize_activity(spark, d):
     post = F.col("kind") == "post"
     raw = rows.withColumn("selftext", F.when(post, F.col("text"))).withColumn("body", F.when(~post, F.col("text"))).drop("text")
     out = R.normalize_activity(raw)
-    return flat(out.select("id", "kind", "author", "created_dt", F.md5("text").alias("text_md5"), F.length("text").alias("chars")))
+    return flat(out.select("id", "kind", "author", _micros_text("created_dt"), F.md5("text").alias("text_md5"), F.length("text").alias("chars")))
 
 
 def norm_text(spark, d):

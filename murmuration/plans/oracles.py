@@ -33,7 +33,7 @@ _ACTIVITY = f"""activity AS (
     CASE WHEN user_id % 17 = 0 THEN '[deleted]' ELSE 'u' || CAST(user_id AS VARCHAR) END AS author,
     {_START} + (user_id % 30) * {_DAY} + (epoch_us(ts) - {_START}) // 10 AS us,
     CASE WHEN event_id % 20 = 0 THEN 'post' ELSE 'comment' END AS kind,
-    event_type AS subreddit, value AS score,
+    event_type AS subreddit, CAST(round(value * 100) AS BIGINT) AS score,
     CASE WHEN event_id % 20 = 0 THEN NULL WHEN event_id % 20 = 7 THEN 't3_big'
          ELSE 't3_' || CAST(event_id - event_id % 20 AS VARCHAR) END AS link_id,
     CASE WHEN event_id % 20 = 0 THEN NULL
@@ -51,11 +51,11 @@ raw AS (
   SELECT id, CASE WHEN author <> '[deleted]' THEN author END AS author,
     CASE WHEN id LIKE '%77' THEN 'not-a-time' ELSE CAST(us // 1000000 AS VARCHAR) END AS created_utc,
     CASE WHEN id LIKE '%5' THEN '' ELSE subreddit END AS subreddit,
-    CAST(trunc(score) AS BIGINT) AS score, kind, link_id, parent_id, 'Post   ' || id AS title, text
+    score, kind, link_id, parent_id, 'Post   ' || id AS title, text
   FROM texted),
 normal AS (
   SELECT id, kind, coalesce(author, '[deleted]') AS author,
-    CASE WHEN created_utc <> 'not-a-time' THEN CAST(created_utc AS BIGINT) * 1000000 END AS created_dt,
+    CASE WHEN created_utc <> 'not-a-time' THEN created_utc || '000000' END AS created_dt,
     subreddit, link_id, parent_id, score,
     {_collapse("CASE WHEN kind = 'post' THEN title || chr(10) || text ELSE text END")} AS text
   FROM raw)"""
@@ -276,13 +276,13 @@ WHERE n = 1""",
 SELECT kind, subreddit, CAST(max(CAST(created_utc AS BIGINT)) + 1 AS VARCHAR) AS next_after
 FROM landed GROUP BY kind, subreddit""",
     "scan_window": f"""WITH {_ACTIVITY}
-SELECT id, author, us AS created_dt, kind, subreddit, round(score, 6) AS score, link_id, parent_id FROM activity
+SELECT id, author, us AS created_dt, kind, subreddit, score, link_id, parent_id FROM activity
 WHERE subreddit = 'click' AND us >= epoch_us(TIMESTAMP '2024-01-05') AND us < epoch_us(TIMESTAMP '2024-01-20')""",
     "normalize_activity": f"""WITH {_RAW}
 SELECT id, kind, author, created_dt, md5(text) AS text_md5, length(text) AS chars FROM normal""",
     "norm_text": f"SELECT doc_id, {_norm('text')} AS norm_text FROM documents",
     "valid_activity": f"""WITH {_ACTIVITY}
-SELECT id, author, us AS created_dt, kind, subreddit, round(score, 6) AS score, link_id, parent_id FROM valid""",
+SELECT id, author, us AS created_dt, kind, subreddit, score, link_id, parent_id FROM valid""",
     "eligible_activity": f"""WITH {_DOCS}
 SELECT id, author, subreddit, md5(norm_text) AS norm_md5 FROM eligible""",
     "topic_hits": f"""WITH {_DOCS}
@@ -365,7 +365,7 @@ SELECT id_a, rank, id_b, round(similarity, 6) AS similarity FROM ranked WHERE ra
 SELECT least(author_a, author_b) AS source, greatest(author_a, author_b) AS target, count(*) AS weight,
   round(max(similarity), 6) AS max_similarity FROM pairs GROUP BY ALL""",
     "latest_rows": f"""WITH {_ACTIVITY}
-SELECT id, author, us AS created_dt, kind, subreddit, round(score, 6) AS score, link_id, parent_id,
+SELECT id, author, us AS created_dt, kind, subreddit, score, link_id, parent_id,
   row_number() OVER (ORDER BY us, id) - 1 AS position
 FROM (SELECT * FROM activity ORDER BY us DESC, id DESC LIMIT 3000)""",
     "embed_texts": f"""WITH {_DOCS},

@@ -25,11 +25,15 @@ def _scan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan out over all cores; larger scans stay as they are."""
+    if _scan_bytes(scan) < SMALL_SCAN:
+        return scan.repartition(shuffle_width(scan.sparkSession))
+    return scan
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    if _scan_bytes(docs) < SMALL_SCAN:
-        return docs.repartition(shuffle_width(spark))
-    return docs
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _event_columns() -> dict:
@@ -46,7 +50,7 @@ def _event_columns() -> dict:
         ),
         "kind": F.when(event % 20 == 0, "post").otherwise("comment"),
         "subreddit": F.col("event_type"),
-        "score": F.col("value"),
+        "score": F.round(F.col("value") * 100).cast("long"),
         "link_id": F.when(event % 20 == 0, F.lit(None)).when(event % 20 == 7, "t3_big").otherwise(
             F.concat(F.lit("t3_"), base.cast("string"))
         ),
@@ -64,7 +68,7 @@ def activity(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
         return events.select(*columns)
     docs = table(spark, sf_dir, "documents")
     count = docs.agg(F.count(F.lit(1))).scalar()
-    keyed = events.select(*columns, (F.col("event_id") % count).alias("doc_id"))
+    keyed = spread(events).select(*columns, (F.col("event_id") % count).alias("doc_id"))
     return keyed.join(docs.select("doc_id", "text"), "doc_id", "left").drop("doc_id")
 
 
@@ -98,7 +102,7 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", F.when(~missing, F.col("author")).alias("author"),
         F.when(F.col("id").endswith("77"), "not-a-time").otherwise(seconds).alias("created_utc"),
         F.when(F.col("id").endswith("5"), "").otherwise(F.col("subreddit")).alias("subreddit"),
-        F.col("score").cast("long").alias("score"), "kind", "link_id", "parent_id",
+        "score", "kind", "link_id", "parent_id",
         F.concat(F.lit("Post   "), F.col("id")).alias("title"), "text",
     )
 
