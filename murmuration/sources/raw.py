@@ -13,6 +13,9 @@ from murmuration.schemas import PREFERRED_COLUMNS
 
 KINDS = ("posts", "comments")
 
+# Columns later steps read from activity besides those attached here.
+ACTIVITY_COLUMNS = {"id": "string", "subreddit": "string", "link_id": "string", "parent_id": "string", "score": "long"}
+
 
 def _globs(raw_dir: str, kinds=KINDS) -> list[str]:
     return [f"{raw_dir.rstrip('/')}/*_{kind}.parquet" for kind in kinds]
@@ -70,8 +73,10 @@ def read_raw(spark: SparkSession, raw_dir: str, schemas: dict[str, T.StructType]
 
 
 def normalize_activity(raw: DataFrame) -> DataFrame:
-    """Attach author, ``created_dt`` and ``text``; absent optional columns count as null."""
+    """Attach author, ``created_dt`` and ``text``; absent columns count as null."""
     have = set(raw.columns)
+    absent = {c: kind for c, kind in ACTIVITY_COLUMNS.items() if c not in have}
+    raw = raw.withColumns({c: F.lit(None).cast(kind) for c, kind in absent.items()})
     null = F.lit(None).cast("string")
     pick = {c: (F.col(c) if c in have else null) for c in ("title", "selftext", "body")}
     numeric = isinstance(raw.schema["author"].dataType, T.NumericType)

@@ -1,0 +1,149 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from murmuration.schemas import ACCOUNT_FEATURES
+from murmuration.sources import landing as L
+from murmuration.sources import publish
+from murmuration.sources import raw as R
+from murmuration.streaming import landing as S
+
+
+def write_raw(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}")
+
+
+@pytest.fixture
+def raw_dir(spark, tmp_path):
+    folder = str(tmp_path / "raw")
+    post = "id string, author string, created_utc long, subreddit string, title string"
+    write_raw(spark, folder, "town_posts.parquet", [("p1", "alice", 10, "town", "Hello")], post)
+    write_raw(spark, folder, "Harbor_posts.parquet", [("p2", "bob", 11, "  ", "Road")], post)
+    write_raw(spark, folder, "Quiet_posts.parquet", [], post)
+    write_raw(spark, folder, "town_comments.parquet", [("c1", "cara", 12, "town", "A comment", "t3_p1")],
+              "id string, author string, created_utc long, subreddit string, body string, link_id string")
+    return folder
+
+
+def test_load_raw(spark, raw_dir):
+    rows = {r["id"]: r for r in R.load_raw(spark, raw_dir).collect()}
+    assert {k: r["kind"] for k, r in rows.items()} == {"p1": "post", "p2": "post", "c1": "comment"}
+    assert rows["p1"]["text"] == "Hello" and rows["c1"]["text"] == "A comment"
+    assert rows["p1"]["link_id"] is None and rows["c1"]["title"] is None
+
+
+def test_load_raw_needs_files(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="No raw parquet files"):
+        R.load_raw(spark, str(tmp_path))
+
+
+def test_publish(spark, raw_dir, tmp_path):
+    out = str(tmp_path / "stage")
+    summary = publish.stage_dataset(spark, raw_dir, out)
+    assert summary == {"counts": {"posts": 2, "comments": 1}, "skipped": ["Quiet_posts.parquet"]}
+    posts = spark.read.parquet(f"{out}/posts")
+    assert {r["id"]: r["subreddit"] for r in posts.collect()} == {"p1": "town", "p2": "Harbor"}
+    assert posts.columns.index("id") < posts.columns.index("title")
+    assert spark.read.parquet(f"{out}/comments").first()["body"] == "A comment"
+
+
+def test_publish_rejects_empty(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="No non-empty raw parquet"):
+        publish.stage_dataset(spark, str(tmp_path), str(tmp_path / "stage"))
+
+
+def test_size_class(spark):
+    from murmuration.functions.scores import size_class
+
+    frame = spark.createDataFrame([(n,) for n in (0, 999, 1000, 9_999_999, 10_000_000)], "n long")
+    got = [r[0] for r in frame.select(size_class(F.col("n"))).collect()]
+    assert got == ["n<1K", "n<1K", "1K<n<10K", "1M<n<10M", "n>10M"]
+
+
+def test_listed_subreddits(spark):
+    found = spark.createDataFrame([("b",), ("a",), ("z",), (None,), ("a",)], "subreddit string")
+    got = publish.listed_subreddits(found, ("z", "q")).orderBy("position").collect()
+    assert [r["subreddit"] for r in got] == ["z", "q", "a", "b"]
+
+
+def test_csv_roundtrip(spark, tmp_path):
+    names = [f.name for f in ACCOUNT_FEATURES.fields]
+    row = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in ACCOUNT_FEATURES.fields])
+    row = row.withColumns({"author": F.lit("alice"), "activity_count": F.lit(3).cast("long")})
+    R.write_csv(row, str(tmp_path / "csv"), key="author")
+    back = R.read_csv(spark, str(tmp_path / "csv"), ACCOUNT_FEATURES)
+    assert back.columns == names and back.first()["activity_count"] == 3
+
+
+PAGES = [
+    ([{"id": "1"}], 1), ({"data": [{"id": "1"}]}, 1), ({"results": [{"id": "1"}]}, 1), ({"items": [{"id": "1"}]}, 1),
+    ({"data": {"children": [{"id": "1"}]}}, 1), ({"data": {}}, 0), ({"other": [{"id": "1"}]}, 0), ("text", 0),
+    ({"data": {"x": 1}, "items": [{"id": "1"}]}, 1),
+]
+
+
+@pytest.mark.parametrize("payload, rows", PAGES)
+def test_page_shapes(spark, payload, rows):
+    pages = spark.createDataFrame([(json.dumps(payload),)], "payload string")
+    got = L.flatten_pages(pages).collect()
+    assert [r["id"] for r in got] == ["1"] * rows
+
+
+def test_malformed_page_gives_no_rows(spark):
+    assert L.flatten_pages(spark.createDataFrame([("{not json",)], "payload string")).count() == 0
+
+
+def test_keep_first_keeps_rows_without_id(spark):
+    rows = spark.createDataFrame(
+        [("1", 0, 0), ("1", 0, 1), ("2", 1, 0), (None, 1, 1), (None, 1, 2), ("1", 2, 0)], "id string, page int, pos int"
+    )
+    got = sorted((r["id"] or "-", r["page"], r["pos"]) for r in L.keep_first(rows, ["page", "pos"]).collect())
+    assert got == [("-", 1, 1), ("-", 1, 2), ("1", 0, 0), ("2", 1, 0)]
+
+
+def test_cursor(spark):
+    rows = spark.createDataFrame([("a", "50"), ("a", "50.9"), ("b", None)], "kind string, created_utc string")
+    assert [tuple(r) for r in L.resume_cursor(rows, ["kind"]).collect()] == [("a", "51")]
+
+
+@pytest.mark.parametrize("pages, max_pages, used", [
+    ([(0, ["5", "6"]), (1, ["7", "8"]), (2, ["9"]), (3, ["10", "11"])], 9, [0, 1, 2]),
+    ([(0, ["5", "6"]), (1, ["6", "6"]), (2, ["7", "8"])], 9, [0, 1]),
+    ([(0, ["5", "6"]), (1, [None, None]), (2, ["7", "8"])], 9, [0, 1]),
+    ([(0, ["5", "6"]), (2, ["7", "8"])], 9, [0]),
+    ([(0, ["5", "6"]), (1, ["7", "8"])], 1, [0]),
+])
+def test_usable_pages(spark, pages, max_pages, used):
+    rows = spark.createDataFrame(
+        [("k", page, value) for page, values in pages for value in values], "k string, page long, created_utc string"
+    )
+    got = L.usable_pages(rows, 2, max_pages, ["k"])
+    assert sorted(r["page"] for r in got.collect()) == used
+
+
+def test_stream_ingest_and_daily(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    day, start = 86400, 1_704_067_200
+    one = {"id": "1", "author": "a", "created_utc": start, "body": "x"}
+    rows = [one, one] + [{"author": "b", "created_utc": start + 5, "body": "y"}] * 2
+    (landing / "a.json").write_text(json.dumps({"data": rows}))
+    pages = S.stream_pages(spark, str(landing))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    S.run_available(S.stream_activity(pages), out, state).awaitTermination(120)
+    assert sorted((r["id"] or "-") for r in spark.read.parquet(out).collect()) == ["-", "-", "1"]
+    (landing / "b.json").write_text(json.dumps([one, {"id": "2", "author": "c", "created_utc": start + 9, "title": "t"}]))
+    S.run_available(S.stream_activity(pages), out, state).awaitTermination(120)
+    got = spark.read.parquet(out)
+    assert sorted((r["id"] or "-", r["kind"]) for r in got.collect()) == [
+        ("-", "comment"), ("-", "comment"), ("1", "comment"), ("2", "post")]
+
+    later = tmp_path / "days"
+    late_rows = [{"id": str(i), "author": "a", "created_utc": start + i * day, "body": "x"} for i in (0, 0.5, 2, 9)]
+    later.mkdir()
+    (later / "a.json").write_text(json.dumps(late_rows))
+    once = S.normalize_activity(S.flatten_pages(S.stream_pages(spark, str(later))).withColumn("kind", F.lit("comment")))
+    S.run_available(S.stream_daily(once), str(tmp_path / "d"), str(tmp_path / "ds")).awaitTermination(120)
+    days = {str(r["day"]): r["rows"] for r in spark.read.parquet(str(tmp_path / "d")).collect()}
+    assert days == {"2024-01-01": 2, "2024-01-03": 1}
