@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.config import DELETED
@@ -46,17 +46,25 @@ def activity_text(kind: Column, title: Column, selftext: Column, body: Column) -
     return collapse_spaces(F.coalesce(chosen, F.lit("")))
 
 
-def norm_text(text: Column) -> Column:
-    """Lower case, links and user mentions replaced by a placeholder, whitespace collapsed."""
-    lowered = F.lower(F.coalesce(text, F.lit("None")))
-    # The byte search skips the regular expression for the many texts without a match.
-    no_links = F.when(
-        lowered.contains("http"), F.regexp_replace(lowered, f"https?://[^{SPACE}]+", " URL ")
-    ).otherwise(lowered)
-    no_users = F.when(
-        no_links.contains("u/"), F.regexp_replace(no_links, f"u(?<![{WORD}]u)/[{WORD}]+", " USER ")
-    ).otherwise(no_links)
-    return collapse_spaces(no_users)
+def _mask(text: Column, marker: str, pattern: str, placeholder: str) -> Column:
+    """Replace a pattern; a byte search for ``marker`` spares most texts the regular expression."""
+    return F.when(text.contains(marker), F.regexp_replace(text, pattern, placeholder)).otherwise(text)
+
+
+def add_norm_text(rows: DataFrame, text: str = "text", out: str = "norm_text") -> DataFrame:
+    """Lower case, links and user mentions replaced by a placeholder, whitespace collapsed.
+
+    One column per step: a step is used twice by the next one, and Spark computes a column once
+    but an inlined expression as often as it is mentioned.
+    """
+    lowered = rows.withColumn("_lowered", F.lower(F.coalesce(text, F.lit("None"))))
+    no_links = lowered.withColumn(
+        "_no_links", _mask(F.col("_lowered"), "http", f"https?://[^{SPACE}]+", " URL ")
+    )
+    no_users = no_links.withColumn(
+        "_no_users", _mask(F.col("_no_links"), "u/", f"u(?<![{WORD}]u)/[{WORD}]+", " USER ")
+    )
+    return no_users.withColumn(out, collapse_spaces(F.col("_no_users"))).drop("_lowered", "_no_links", "_no_users")
 
 
 def escape_keyword(word: str) -> str:

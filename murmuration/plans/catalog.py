@@ -129,8 +129,7 @@ def normalize_activity(spark, d):
 
 
 def norm_text(spark, d):
-    rows = B.documents(spark, d)
-    return flat(rows.select("doc_id", X.norm_text(F.col("text")).alias("norm_text")))
+    return X.add_norm_text(B.documents(spark, d)).select("doc_id", "norm_text")
 
 
 def valid_activity(spark, d):

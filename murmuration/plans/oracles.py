@@ -149,7 +149,7 @@ landed AS (
 
 _DOCS = f"""docs AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, source AS author, {_START} + doc_id * 60000000 AS us,
-    lang AS subreddit, {_collapse("coalesce(text, '')")} AS text FROM documents),
+    lang AS subreddit, coalesce(text, '') AS text FROM documents),
 eligible AS (
   SELECT *, {_norm('text')} AS norm_text FROM docs WHERE author <> '[deleted]' AND length(text) >= 30)"""
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.functions import text as X
 from murmuration.session import prepare, shuffle_width, stage_path
 
 # Start of the event stream, in microseconds.
@@ -79,7 +78,7 @@ def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("author"),
         F.timestamp_micros(F.lit(START_US) + F.col("doc_id") * 60_000_000).alias("created_dt"),
         F.col("lang").alias("subreddit"),
-        X.collapse_spaces(F.coalesce("text", F.lit(""))).alias("text"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
 
 

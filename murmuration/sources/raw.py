@@ -98,7 +98,7 @@ def valid_activity(activity: DataFrame) -> DataFrame:
 def eligible_activity(activity: DataFrame, min_text_chars: int) -> DataFrame:
     """Rows long enough to compare, with their normalised text."""
     long_enough = valid_activity(activity).where(F.length("text") >= min_text_chars)
-    return long_enough.withColumn("norm_text", X.norm_text(F.col("text")))
+    return X.add_norm_text(long_enough)
 
 
 def activity_window(activity: DataFrame, subreddit: str | None = None, after=None, before=None) -> DataFrame:
