@@ -5,16 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmuration.session import write_stage
+
 
 def _day(column: str) -> Column:
     return F.to_date(column)
 
 
 def fill_days(per_day: DataFrame) -> DataFrame:
-    """Every day between the first and last one; per_day has one row per day already."""
-    bounds = per_day.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).where("lo is not null")
-    spine = bounds.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("day"))
-    return spine.join(per_day, "day", "left")
+    """Add a row of zeros for every missing day between the first and the last one.
+
+    Every day is unfolded up to the day before the next one, so ``per_day`` is read once and
+    joined with nothing. It holds one row per calendar day, which one task can put in order.
+    """
+    counts = [c for c in per_day.columns if c != "day"]
+    following = F.lead("day").over(Window.orderBy("day"))
+    until = F.coalesce(F.date_sub(following, 1), F.col("day"))
+    days = per_day.withColumn("until", until).withColumn(
+        "filled", F.explode(F.sequence("day", "until", F.expr("interval 1 day")))
+    )
+    return days.select(
+        F.col("filled").alias("day"), *[F.when(F.col("filled") == F.col("day"), F.col(c)).otherwise(0).alias(c) for c in counts]
+    )
 
 
 def daily_activity(activity: DataFrame) -> DataFrame:
@@ -22,7 +34,7 @@ def daily_activity(activity: DataFrame) -> DataFrame:
     per_day = activity.where(F.col("created_dt").isNotNull()).groupBy(_day("created_dt").alias("day")).agg(
         F.count(F.lit(1)).alias("rows")
     )
-    return fill_days(per_day).select("day", F.coalesce("rows", F.lit(0)).alias("rows"))
+    return fill_days(per_day)
 
 
 def new_account_daily_share(activity: DataFrame, very_new_days: int, new_days: int) -> DataFrame:
@@ -41,9 +53,10 @@ def new_account_daily_share(activity: DataFrame, very_new_days: int, new_days: i
     )
     first = F.min("first_row").over(Window.partitionBy("author"))
     limits = {"new_7d": very_new_days, "new_30d": new_days}
-    dated = per_author_day.withColumn("first_seen", first).withColumns({
+    # Read twice below, so it is counted once and written: one row per author and active day.
+    dated = write_stage(per_author_day.withColumn("first_seen", first).withColumns({
         f"{name}_until": F.col("first_seen") + F.make_dt_interval(days=F.lit(days)) for name, days in limits.items()
-    })
+    }), "author_days")
     cut = {name: F.col("day") == F.to_date(f"{name}_until") for name in limits}
     whole = dated.groupBy("day").agg(
         F.sum("n").alias("total"),
@@ -62,6 +75,6 @@ def new_account_daily_share(activity: DataFrame, very_new_days: int, new_days: i
     per_day = whole.unionByName(on_cut_days).groupBy("day").agg(
         *[F.sum(c).alias(c) for c in ("total", *limits)]
     )
-    filled = fill_days(per_day).select("day", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", *limits)])
+    filled = fill_days(per_day)
     share = {n.replace("new", "share"): F.col(n) / F.nullif(F.col("total"), F.lit(0)) for n in limits}
     return filled.withColumns(share)

@@ -385,10 +385,10 @@ FROM sums QUALIFY value <> 0""",
 SELECT CAST(label AS BIGINT) AS semantic_cluster, count(*) AS cluster_size, count(DISTINCT author) AS unique_accounts,
   min(us) AS first_time, max(us) AS last_time, string_agg(DISTINCT subreddit, ',' ORDER BY subreddit) AS subreddits
 FROM v GROUP BY label""",
-    "dataset_stats": f"""WITH {_REPLIES}
+    "dataset_stats": f"""WITH {_ACTIVITY}, {_NEAR}
 SELECT 'activity_rows' AS label, count(*) AS value FROM activity
 UNION ALL SELECT 'accounts', count(DISTINCT author) FROM activity
-UNION ALL SELECT 'near_duplicate_pairs', count(*) FROM replies
+UNION ALL SELECT 'near_duplicate_pairs', count(*) FROM pairs
 UNION ALL SELECT 'embedded_rows', count(*) FROM embeddings
 UNION ALL SELECT 'clustered_rows', count(*) FROM embeddings WHERE label >= 0
 UNION ALL SELECT 'clusters', count(DISTINCT label) FROM embeddings WHERE label >= 0""",
