@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from murmuration.config import Settings
 from murmuration.operators import accounts as A
 from murmuration.operators import daily, density, duplicates, edges, embed, graph, ranking
-from murmuration.session import prepare
+from murmuration.session import prepare, stages_removed
 from murmuration.sources import raw as R
 
 
@@ -38,8 +38,14 @@ def run(spark: SparkSession, raw_dir: str, out_dir: str, settings: Settings, enc
 
     Activity is written first and read back, so the later steps share one normalised copy. The
     order is features, edges, texts, report tables; the first failure stops the run.
+    Intermediate tables are removed at the end.
     """
     prepare(spark)
+    with stages_removed(spark):
+        return _run(spark, raw_dir, out_dir, settings, encoder)
+
+
+def _run(spark: SparkSession, raw_dir: str, out_dir: str, settings: Settings, encoder) -> dict[str, str]:
     paths: dict[str, str] = {}
 
     def save(name: str, df: DataFrame) -> DataFrame:

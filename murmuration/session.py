@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +68,9 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
 def write_stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -75,9 +79,27 @@ def write_stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = stage_path(df.sparkSession, label)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def stages_removed(spark: SparkSession):
+    """Delete the intermediate tables written inside the block once it has ended.
+
+    Only for blocks that write their results themselves: lazy results still read those tables.
+    """
+    start = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _WRITTEN[start:]:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(hadoop).delete(target, True)
+        del _WRITTEN[start:]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partition count for CPU-heavy steps that must not be merged into few tasks."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
