@@ -145,7 +145,7 @@ landed AS (
   SELECT CASE WHEN id NOT LIKE '%3' THEN id END AS id, author, subreddit, kind,
     CAST(us // 1000000 AS VARCHAR) AS created_utc,
     CAST(id AS BIGINT) // 100 + copy * 7 AS page, CAST(id AS BIGINT) % 100 + copy * 100 AS pos
-  FROM activity CROSS JOIN (VALUES (0), (1)) c(copy))"""
+  FROM (SELECT *, unnest([0, 1]) AS copy FROM activity))"""
 
 _DOCS = f"""docs AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, source AS author, {_START} + doc_id * 60000000 AS us,
