@@ -18,6 +18,7 @@ memories of words and pairs.
 from __future__ import annotations
 
 import re
+import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -251,7 +252,7 @@ def marked(text: str) -> list[str]:
     return [MARK + w for w in text.split(" ")]
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def encode_documents(docs: DataFrame, pieces: Pieces, column: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -267,13 +268,14 @@ def encode_documents(docs: DataFrame, pieces: Pieces, column: str = "text", keep
     chosen = docs.select(*keep, docs[column].alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.drop("_text").schema)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    vocabulary = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A worker process serves many tasks: keep what it has learnt about this vocabulary.
-        if shared.id not in _ENCODERS:
+        if vocabulary not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[shared.id] = Encoder(shared.value)
-        encoder = _ENCODERS[shared.id]
+            _ENCODERS[vocabulary] = Encoder(shared.value)
+        encoder = _ENCODERS[vocabulary]
         for part, texts in slices(batches, "_text", SLICE_CHARS):
             rows = encoder.encode(texts)
             ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
