@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -54,3 +54,20 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, chars: int) -> Iterat
 def small_batches(df: DataFrame, rows: int = 512) -> None:
     """Texts are long: hand Python few rows at a time, so that a batch stays at a few megabytes."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def labelled_sample(ids: DataFrame, docs: DataFrame, per_label: int, labels: int) -> list[tuple[str, object]]:
+    """(text, label) of at most ``labels * per_label`` documents, the same ones in every run.
+
+    ``ids`` holds (doc_id, label). The ``labels`` most frequent labels take part, each with the
+    documents of the smallest hashes; only their texts travel, to a side of that bounded size.
+    """
+    ids = ids.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).select("doc_id", "label")
+    frequent = ids.groupBy("label").count().orderBy(F.desc("count"), "label").limit(labels).select("label")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = ids.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_label).drop("_r")
+    chosen = ranked.join(F.broadcast(frequent), "label").select(F.col("doc_id").alias("_d"), "label").distinct()
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_d")).select("doc_id", "text", "label").distinct()
+    rows = rows.orderBy("doc_id", "text", "label").limit(labels * per_label)
+    return [(r["text"], r["label"]) for r in rows.toLocalIterator()]

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import held_out, slices, small_batches
+from murmuration.llm.common import held_out, labelled_sample, slices, small_batches
 
 UNDETERMINED = "und"
 SLICE_CHARS = 120_000
@@ -34,7 +34,7 @@ class Training:
     dim: int = 16
     epochs: int = 6
     rate: float = 4.0
-    accept: float = 0.95
+    accept: float = 0.99
     seed: int = 7
 
 
@@ -83,7 +83,8 @@ def train(rows: list[tuple[str, str]], how: Training = Training()) -> Model | No
     """Fit on (text, language) rows; a fifth of them calibrates temperature and rejection.
 
     Returns None without any row. The temperature is the one with the best likelihood on the
-    calibration rows; ``reject_below`` keeps ``accept`` of their right predictions.
+    calibration rows; ``reject_below`` is the lowest bound above which a share of ``accept`` of
+    their predictions is right.
     """
     rows = [r for r in rows if r[0] and any(c.isalpha() for c in r[0])]
     if not rows:
@@ -120,12 +121,13 @@ def train(rows: list[tuple[str, str]], how: Training = Training()) -> Model | No
         z = np.array([bags[k][1] @ logits[bags[k][0]] + b for k in held])
         y = np.array([bags[k][2] for k in held])
         at = np.arange(len(y))
-        grid = np.geomspace(0.25, 8, 21)
+        grid = np.geomspace(0.5, 8, 17)
         temperature = float(min(grid, key=lambda t: -np.log(_softmax(z / t)[at, y] + 1e-12).sum()))
         p = _softmax(z / temperature)
-        right = p.argmax(1) == y
-        if right.any():
-            floor = float(np.quantile(p.max(1)[right], 1 - how.accept))
+        best = np.argsort(-p.max(1), kind="stable")
+        right = np.cumsum((p.argmax(1) == y)[best]) / np.arange(1, len(y) + 1)
+        good = np.flatnonzero(right >= how.accept)
+        floor = 0.0 if right[-1] >= how.accept else float(p.max(1)[best[good[-1]]]) if len(good) else 1.0
     return Model(names, logits.astype(np.float32), b, temperature, floor, how.orders)
 
 
@@ -148,20 +150,6 @@ def predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
     return langs, scores
 
 
-def sample(docs: DataFrame, how: Training, learn: Column) -> list[tuple[str, str]]:
-    """The bounded labelled sample: per language, the texts with the smallest hashes."""
-    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    frequent = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(how.languages)
-    hashed = labelled.select("lang", "doc_id", F.xxhash64("text").alias("_h"))
-    first = hashed.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(
-        F.col("_r") <= how.per_language)
-    first = first.join(F.broadcast(frequent.select("lang")), "lang").select("doc_id", F.col("_h").alias("_c"))
-    # At most languages * per_language rows: small enough to send to every task and to the driver.
-    chosen = labelled.join(F.broadcast(first), (F.xxhash64("text") == F.col("_c")) & (labelled["doc_id"] == first["doc_id"]))
-    rows = chosen.select(labelled["doc_id"], "text", "lang").distinct().orderBy("doc_id", "text", "lang")
-    return [(r["text"], r["lang"]) for r in rows.toLocalIterator()]
-
-
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), column: str = "text") -> DataFrame:
     """``keep`` with ``lang_pred``, ``score`` and ``rejected``.
 
@@ -193,6 +181,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 
 def digest(docs: DataFrame, how: Training = Training()) -> DataFrame:
     rows = docs.select("doc_id", "text", "lang")
-    model = train(sample(rows, how, ~held_out("doc_id", 3, 1) & F.col("doc_id").isNotNull()), how)
+    ids = rows.where(~held_out("doc_id", 3, 1)).select("doc_id", F.col("lang").alias("label"))
+    model = train(labelled_sample(ids, rows, how.per_language, how.languages), how)
     judged = rows.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "text")
     return identify(judged, model, ("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
