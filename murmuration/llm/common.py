@@ -32,6 +32,11 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def besides(keep: Iterable[str], results: Iterable[str]) -> tuple[str, ...]:
+    """The columns to carry along: one named like a result column gives way to it."""
+    return tuple(dict.fromkeys(c for c in keep if c not in set(results)))
+
+
 def held_out(key: str, modulus: int, remainder: int) -> Column:
     """True where crc32 of the key as text has this remainder; a missing key is not held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import held_out, labelled_sample, slices, small_batches
+from murmuration.llm.common import besides, held_out, labelled_sample, slices, small_batches
 
 UNDETERMINED = "und"
 SLICE_CHARS = 120_000
@@ -155,18 +155,17 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text where nothing
     was learnt. ``rejected`` marks predictions below the calibrated bound. Repeated rows are
-    predicted each on its own; ``keep`` must not hold the names of the result.
+    predicted each on its own; kept columns named like a result give way to it.
     """
-    if set(keep) & {"lang_pred", "score", "rejected"}:
-        raise ValueError("kept columns must not carry the names of the result")
+    keep = besides(keep, ("lang_pred", "score", "rejected"))
     small_batches(docs)
-    chosen = docs.select(*keep, docs[column].alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.drop("_text").schema)
+    chosen = docs.select(*keep, docs[column].alias("_mm_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.drop("_mm_text").schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for part, texts in slices(batches, "_text", SLICE_CHARS * 4):
+        for part, texts in slices(batches, "_mm_text", SLICE_CHARS * 4):
             if known is None:
                 langs, scores, low = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             else:

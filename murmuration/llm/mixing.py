@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import WORD, text_of
+from murmuration.llm.common import WORD, besides, text_of
 from murmuration.session import write_stage
 
 WEIGHT_CYCLE = (5, 2, 1)
@@ -107,8 +107,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), column: str = "text", extra:
     separate documents; which of them a quota falls on makes no difference to the rows returned.
     Columns named ``size``, ``source_size``, ``target`` or ``taken`` in ``docs`` are not read.
     """
-    if set(extra) & {"doc_id", "source", "size", "source_size", "target", "taken"}:
-        raise ValueError("extra columns must not carry the names of the result")
+    extra = besides(extra, ("doc_id", "source", "size", "source_size", "target", "taken"))
     sized = write_stage(sizes(docs, column).select("doc_id", "source", "size", *extra), "sizes")
     wanted = targets(sized, mix)
     wanted = wanted.withColumn("_seats", F.floor(F.sum("source_size").over(Window.partitionBy()) / mix.block_words + 0.5).cast("long"))
@@ -175,15 +174,15 @@ def mixture(docs: DataFrame, mix: Mix = Mix(), column: str = "text") -> DataFram
 
     Columns are those of ``docs``. Documents the mix takes less than half of are left out.
     """
-    sized = docs.withColumn("_key", F.md5(text_of(column).cast("binary")))
-    taken = mix_sources(sized, mix, column, ("_key",))
+    sized = docs.withColumn("_mm_key", F.md5(text_of(column).cast("binary")))
+    taken = mix_sources(sized, mix, column, ("_mm_key",))
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     # Rows alike in (doc_id, source, text) share their copies in one row.
-    plan = taken.where("size > 0").groupBy("doc_id", "source", "_key").agg(
+    plan = taken.where("size > 0").groupBy("doc_id", "source", "_mm_key").agg(
         F.sum(copies).alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_key").alias("_k"), "_copies", "_rows").where("_copies > 0")
+    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_mm_key").alias("_k"), "_copies", "_rows").where("_copies > 0")
     joined = sized.join(
-        plan, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k"))
+        plan, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_mm_key") == F.col("_k"))
     )
     times = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)

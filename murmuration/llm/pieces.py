@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from murmuration.llm.common import slices, small_batches
+from murmuration.llm.common import besides, slices, small_batches
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -260,13 +260,12 @@ def encode_documents(docs: DataFrame, pieces: Pieces, column: str = "text", keep
 
     Null and empty texts have no ids and count as coming back as the empty text. ``round_trip``
     is false where a text cannot come back, as when it holds the space mark itself. Repeated rows
-    are encoded each on their own. ``keep`` must not hold the names of the result.
+    are encoded each on their own. Kept columns named like a result give way to it.
     """
-    if set(keep) & {"ids", "n_pieces", "round_trip"}:
-        raise ValueError("kept columns must not carry the names of the result")
+    keep = besides(keep, ("ids", "n_pieces", "round_trip"))
     small_batches(docs)
-    chosen = docs.select(*keep, docs[column].alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.drop("_text").schema)
+    chosen = docs.select(*keep, docs[column].alias("_mm_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.drop("_mm_text").schema)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     vocabulary = uuid.uuid4().hex
 
@@ -276,7 +275,7 @@ def encode_documents(docs: DataFrame, pieces: Pieces, column: str = "text", keep
             _ENCODERS.clear()
             _ENCODERS[vocabulary] = Encoder(shared.value)
         encoder = _ENCODERS[vocabulary]
-        for part, texts in slices(batches, "_text", SLICE_CHARS):
+        for part, texts in slices(batches, "_mm_text", SLICE_CHARS):
             rows = encoder.encode(texts)
             ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
             flat = np.frombuffer(b"".join(rows), dtype=np.int32)
@@ -295,16 +294,17 @@ def encode_documents(docs: DataFrame, pieces: Pieces, column: str = "text", keep
 def decode_documents(encoded: DataFrame, pieces: Pieces, column: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` with ``text``: ids back to text. Null ids give the empty text, null or unknown ids
     inside are skipped, and bytes that are no text become replacement characters."""
+    keep = besides(keep, ("text",))
     small_batches(encoded)
-    chosen = encoded.select(*keep, encoded[column].alias("_ids"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.drop("_ids").schema)
+    chosen = encoded.select(*keep, encoded[column].alias("_mm_ids"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.drop("_mm_ids").schema)
     shared = encoded.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Encoder(shared.value)
         size = len(shared.value.raw)
         for part in batches:
-            rows = part.column("_ids").to_pylist()
+            rows = part.column("_mm_ids").to_pylist()
             texts = [decoder.decode([i for i in r or () if i is not None and 0 <= i < size]) for r in rows]
             yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(texts, pa.string())], names=[*keep, "text"])
 

@@ -67,14 +67,14 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measures(docs: DataFrame, column: str = "text") -> DataFrame:
-    """``docs`` with a struct ``_m`` of the counts the rules compare.
+    """``docs`` with a struct ``_mm_counts`` of the counts the rules compare.
 
-    A missing text has no words and no lines. Names in ``docs`` are left alone except ``_m``.
+    A missing text has no words and no lines. Names in ``docs`` are left alone except ``_mm_words`` and ``_mm_counts``.
     """
     text = text_of(column)
-    with_words = docs.withColumn("_w", words_of(text))
+    with_words = docs.withColumn("_mm_words", words_of(text))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    words = F.col("_w")
+    words = F.col("_mm_words")
     counts = F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
@@ -85,7 +85,7 @@ def measures(docs: DataFrame, column: str = "text") -> DataFrame:
         _repeat_words(words).alias("n_repeat_words"),
         F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
-    return with_words.withColumn("_m", counts).drop("_w")
+    return with_words.withColumn("_mm_counts", counts).drop("_mm_words")
 
 
 def failed_rules(m: Column, thresholds=THRESHOLDS) -> Column:
@@ -110,14 +110,14 @@ def quality_rules(docs: DataFrame, column: str = "text", thresholds=THRESHOLDS)
     Null and empty texts have zero counts, fail the base rule and are not kept. Repeated rows are
     judged each on its own. The added columns replace columns of the same names.
     """
-    m = F.col("_m")
+    m = F.col("_mm_counts")
     base = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
     failed = failed_rules(m, thresholds)
     return measures(docs, column).withColumns({
         "n_words": m["n_words"], "word_chars": m["word_chars"], "n_symbols": m["n_symbols"],
         "n_dup_lines": m["lines"]["dup"], "n_repeat_words": m["n_repeat_words"],
         "base_failed": base, "failed": failed, "kept": ~base & (F.size(failed) == 0),
-    }).drop("_m")
+    }).drop("_mm_counts")
 
 
 DIGEST = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
