@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import langid, mixing, pieces, quality, secrets
+from murmuration.llm import langid, mixing, pieces, quality, secrets, trie_join
 from murmuration.session import prepare
 
 
@@ -30,6 +30,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_table(spark, sf_dir, "documents"))
 
@@ -39,10 +43,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_quality_rules": op6_quality_rules,
     "op7_language": op7_language,
+    "op9_trie_join": op9_trie_join,
     "op10_pieces": op10_pieces,
 }
 
 SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op9_trie_join": trie_join.ORACLE,
 }
