@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import langid, mixing, pieces, quality, secrets, trie_join
+from murmuration.llm import importance, langid, licences, mixing, pieces, quality, secrets, trie_join
 from murmuration.session import prepare
 
 
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_join.digest(_table(spark, sf_dir, "documents"))
 
@@ -40,9 +48,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_importance": op3_importance,
     "op5_secrets": op5_secrets,
     "op6_quality_rules": op6_quality_rules,
     "op7_language": op7_language,
+    "op8_licences": op8_licences,
     "op9_trie_join": op9_trie_join,
     "op10_pieces": op10_pieces,
 }
@@ -50,5 +60,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op8_licences": licences.ORACLE,
     "op9_trie_join": trie_join.ORACLE,
 }
