@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import importance, langid, licences, mixing, pieces, quality, secrets, trie_join
+from murmuration.llm import cover_tree, importance, langid, licences, mixing, pieces, quality, secrets, trie_join
 from murmuration.session import prepare
 
 
@@ -22,6 +22,10 @@ def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.digest(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_importance": op3_importance,
+    "op4_cover_tree": op4_cover_tree,
     "op5_secrets": op5_secrets,
     "op6_quality_rules": op6_quality_rules,
     "op7_language": op7_language,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
+    "op4_cover_tree": cover_tree.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op8_licences": licences.ORACLE,
     "op9_trie_join": trie_join.ORACLE,
