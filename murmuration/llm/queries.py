@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import cover_tree, importance, langid, licences, mixing, pieces, quality, secrets, trie_join
+from murmuration.llm import cover_tree, importance, langid, licences, mixing, pieces, quality, secrets, toxicity, trie_join
 from murmuration.session import prepare
 
 
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_toxicity": op2_toxicity,
     "op3_importance": op3_importance,
     "op4_cover_tree": op4_cover_tree,
     "op5_secrets": op5_secrets,
