@@ -1,4 +1,5 @@
 import __spark_entry__ as E
+from murmuration.plans import catalog
 
 
 def test_entry_has_rows(spark):
@@ -6,6 +7,6 @@ def test_entry_has_rows(spark):
     assert "coordination_score" in got.columns and got.count() > 0
 
 
-def test_every_query_has_sql():
+def test_every_query_of_the_library_has_sql():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert not set(E.queries()) - set(E.oracle_sql())
+    assert not set(catalog.QUERIES) - set(E.oracle_sql())
