@@ -9,7 +9,10 @@ DELETED = "[deleted]"
 
 @dataclass(frozen=True)
 class Settings:
-    """Limits and thresholds. The defaults are fixed values of the analysis."""
+    """Limits and thresholds. The defaults are fixed values of the analysis.
+
+    ``None`` lifts ``max_embedding_rows`` and ``max_thread_authors``.
+    """
 
     subreddits: tuple[str, ...] = ()
     after: str | None = None
@@ -23,7 +26,13 @@ class Settings:
     semantic_similarity_threshold: float = 0.86
     temporal_window_minutes: int = 15
     min_cluster_size: int = 3
-    max_embedding_rows: int = 30_000
+    max_embedding_rows: int | None = None
+    max_thread_authors: int | None = 80
+    max_features: int = 100_000
+    neighbors: int = 10
+    candidates: int = 100
+    network_nodes: int = 80
+    network_weight: float = 2
     topics: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:

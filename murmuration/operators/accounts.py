@@ -116,8 +116,21 @@ def account_features(valid: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def subreddit_crosstab(valid: DataFrame, subreddits: list[str]) -> DataFrame:
-    """Row counts per author and subreddit, one column per named subreddit."""
+def subreddit_counts(valid: DataFrame) -> DataFrame:
+    """(author, subreddit, rows): the crosstab in long form, for any number of subreddits."""
+    return valid.where(F.col("subreddit").isNotNull()).groupBy("author", "subreddit").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def subreddit_crosstab(valid: DataFrame, subreddits: list[str] | None = None) -> DataFrame:
+    """Row counts per author and subreddit, one column per subreddit.
+
+    Without a list the columns are all subreddits found, in order; with one, rows of others are
+    left out because the caller asks for it. A table has room for some thousands of columns
+    (``spark.sql.pivotMaxValues`` sets the limit and more are an error); ``subreddit_counts`` has none.
+    """
+    if subreddits is None:
+        long = subreddit_counts(valid)
+        return long.groupBy("author").pivot("subreddit").agg(F.sum("rows")).na.fill(0)
     return valid.where(F.col("subreddit").isNotNull()).groupBy("author").pivot("subreddit", subreddits).agg(
         F.count(F.lit(1))
     ).na.fill(0)

@@ -30,7 +30,6 @@ TOPICS = {
 }
 PLAIN = Settings()
 TOPICAL = Settings(topics=TOPICS)
-SUBREDDITS = ["click", "error", "purchase", "signup", "view"]
 
 # The given vectors are spread out, so clusters are looked for at a lower similarity.
 VECTOR_SIMILARITY = 0.35
@@ -171,7 +170,7 @@ def feature_preview(spark, d):
 
 
 def author_subreddit_crosstab(spark, d):
-    return flat(A.subreddit_crosstab(_valid(spark, d), SUBREDDITS))
+    return flat(A.subreddit_crosstab(_valid(spark, d)))
 
 
 def topic_rates(spark, d):

@@ -321,8 +321,7 @@ SELECT CAST(CAST(make_timestamp(day * {_DAY}) AS DATE) AS VARCHAR) AS day, total
     "temporal_pairs": f"""WITH {_THREADS},
 met AS (
   SELECT DISTINCT a.link_id, a.author AS source, b.author AS target
-  FROM valid a JOIN valid b ON a.link_id = b.link_id AND a.author < b.author AND abs(a.us - b.us) <= 900000000
-  WHERE a.link_id IN (SELECT link_id FROM threads))
+  FROM valid a JOIN valid b ON a.link_id = b.link_id AND a.author < b.author AND abs(a.us - b.us) <= 900000000)
 SELECT source, target, count(*) AS weight FROM met GROUP BY source, target""",
     "network_edges": f"WITH {_REPLIES} SELECT source, target, weight FROM network",
     "reply_graph": f"WITH {_REPLIES} SELECT source, target, weight FROM heavy",

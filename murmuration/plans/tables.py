@@ -5,34 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.session import prepare, shuffle_width, stage_path
+from murmuration.session import prepare, stage_path
 
 # Start of the event stream, in microseconds.
 START_US = 1_704_067_200_000_000
 DAY_US = 86_400_000_000
 
-# Below this many bytes a scan comes from so few row groups that reading it would keep most
-# cores idle; dealing the rows out costs next to nothing there.
-SMALL_SCAN = 1 << 30
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scan_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a small scan out over all cores; larger scans stay as they are."""
-    if _scan_bytes(scan) < SMALL_SCAN:
-        return scan.repartition(shuffle_width(scan.sparkSession))
-    return scan
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def _event_columns() -> dict:
@@ -67,7 +51,7 @@ def activity(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
         return events.select(*columns)
     docs = table(spark, sf_dir, "documents")
     count = docs.agg(F.count(F.lit(1))).scalar()
-    keyed = spread(events).select(*columns, (F.col("event_id") % count).alias("doc_id"))
+    keyed = events.select(*columns, (F.col("event_id") % count).alias("doc_id"))
     return keyed.join(docs.select("doc_id", "text"), "doc_id", "left").drop("doc_id")
 
 
