@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import bound, small_batches, text_of, words_of
+from murmuration.llm.common import small_batches
 from murmuration.operators.components import connected_components
 from murmuration.session import write_stage
 
@@ -40,14 +40,76 @@ BLOCK = 128
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles_of(text: Column, size: int = SHINGLE) -> Column:
-    """Distinct hashed shingles; a shorter text is one shingle, a text without words none."""
-    def of(w):
-        whole = F.array(F.xxhash64(F.concat_ws(" ", w)))
-        runs = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[w[i + k] for k in range(size)]))
-        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < size, whole).otherwise(F.array_distinct(runs))
+_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
-    return bound(words_of(F.translate(text, *LOWER)), of)
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX1
+    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    return x ^ (x >> np.uint64(31))
+
+
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * _STEP)
+_PLACES = _mixed(np.arange(1001, 1001 + SHINGLE, dtype=np.uint64) * _STEP) | np.uint64(1)
+
+
+def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+    """Distinct hashed shingles of every text of an Arrow column, sorted by hash.
+
+    Works on the UTF-8 bytes of all texts at once: a word's hash is the mixed sum of its bytes'
+    numbers times a number of their place, a shingle's the mixed sum over its words. A shorter
+    text is one shingle, a text without words none.
+    """
+    column = column.cast(pa.large_string())
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[ends[0]:ends[-1]]
+    ends = ends - ends[0]
+    if not len(raw):
+        return [np.zeros(0, dtype=np.int64)] * len(column)
+    folded = _FOLD[raw]
+    solid = ~_SPACES[folded]
+    first = solid.copy()
+    # A word starts after a space or where a text starts.
+    inner = solid[:-1].copy()
+    heads = ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < len(raw))]
+    inner[heads - 1] = False
+    first[1:] &= ~inner
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return [np.zeros(0, dtype=np.int64)] * len(column)
+    at = np.flatnonzero(solid)
+    begin = np.searchsorted(at, starts)
+    sizes = np.diff(np.append(begin, len(at)))
+    place = np.arange(len(at)) - np.repeat(begin, sizes)
+    longest = int(place.max()) + 1
+    numbers = _mixed(np.arange(5001, 5001 + longest, dtype=np.uint64) * _STEP) | np.uint64(1)
+    words = _mixed(np.add.reduceat(_BYTES[folded[at]] * numbers[place], begin) + sizes.astype(np.uint64))
+    bounds = np.searchsorted(starts, ends)
+    runs = np.zeros(max(len(words) - SHINGLE + 1, 0), dtype=np.uint64)
+    for k in range(SHINGLE):
+        runs += words[k:k + len(runs)] * _PLACES[k]
+    runs = _mixed(runs).view(np.int64)
+    sets = []
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if hi - lo >= SHINGLE:
+            sets.append(np.unique(runs[lo:hi - SHINGLE + 1]))
+        elif hi > lo:
+            few = words[lo:hi]
+            sets.append(_mixed(((few * _PLACES[:len(few)]).sum(keepdims=True) + np.uint64(len(few)))).view(np.int64))
+        else:
+            sets.append(np.zeros(0, dtype=np.int64))
+    return sets
+
+
+def class_of(shingles: np.ndarray) -> int:
+    """One number for a set: the mixed sum of its members and its size."""
+    total = _mixed(shingles.view(np.uint64)).sum(dtype=np.uint64) + np.uint64(len(shingles))
+    return int(_mixed(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
 def needed_overlap(n: int, m: int, percent: int = PERCENT) -> int:
@@ -142,22 +204,27 @@ class Order:
         return np.concatenate([hashes[~often], late[np.argsort(self.ranks[at[often]], kind="stable")]])
 
 
-def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    return column.offsets.to_numpy(), column.values.to_numpy()
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles found in several documents of a chunk, with their number."""
+def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text its class and size; per chunk the shingles of several texts, with their number."""
     held, size = [], 0
 
     def counted():
         found, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found[n > 1]), pa.array(n[n > 1])], names=["shingle", "n"])
+        found, n = found[n > 1], n[n > 1]
+        void = pa.nulls(len(found))
+        return pa.RecordBatch.from_arrays(
+            [void.cast(kind), void.cast(pa.int64()), void.cast(pa.int64()), pa.array(found), pa.array(n)], names=names)
 
+    names, kind = ["doc_id", "n_shingles", "cls", "shingle", "n"], pa.int64()
     for batch in batches:
-        ends, values = _lists(batch.column(0))
-        held.append(values[ends[0]:ends[-1]].copy())
-        size += len(held[-1])
+        kind = batch.column("doc_id").type
+        sets = shingle_sets(batch.column("text"))
+        held += sets
+        size += sum(map(len, sets))
+        void = pa.nulls(len(sets), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([class_of(x) for x in sets], pa.int64()), void, void],
+            names=names)
         if size >= CHUNK:
             yield counted()
             held, size = [], 0
@@ -165,15 +232,15 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-def global_order(sets: DataFrame) -> Order:
+def global_order(counts: DataFrame) -> Order:
     """Order with the most frequent shingles last.
 
     Every chunk of about a million shingles, of all documents, reports those it holds more than
     once, so a shingle in more documents than there are chunks cannot be missed. The order only
     decides how much work there is, never what is found.
     """
-    counts = sets.select("shingles").mapInArrow(_repeated, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
+    summed = counts.groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = summed.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
     hashes, n = top["shingle"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
     by = np.lexsort((hashes, n))
     ranks = np.empty(len(by), dtype=np.int64)
@@ -186,11 +253,9 @@ def _postings(order, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            ends, values = _lists(batch.column("shingles"))
-            ids = batch.column("cls").to_numpy()
-            tokens, owners, places = [], [], []
-            for i, cls in enumerate(ids.tolist()):
-                own = values[ends[i]:ends[i + 1]]
+            tokens, owners = [], []
+            for own in shingle_sets(batch.column("text")):
+                cls = class_of(own)
                 if not len(own) or cls in seen:
                     continue
                 if len(seen) < CHUNK:
@@ -198,43 +263,48 @@ def _postings(order, percent: int):
                 k = prefix_length(len(own), percent)
                 tokens.append(order.value.sort(own)[:k])
                 owners.append(np.full(k, cls))
-                places.append((np.int64(len(own)) << 32) + np.arange(k))
             if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (tokens, owners, places)], names=["token", "cls", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, owners)], names=["token", "cls"])
     return run
 
 
-def _filter_words(classes: DataFrame) -> np.ndarray:
-    """Bits set by the classes that have a possible partner: at most FILTER_BITS / 64 words."""
-    spots = F.array(*[F.pmod(F.xxhash64("cls", F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)])
-    bits = classes.select(F.explode(spots).alias("spot")).groupBy(F.shiftright("spot", 5).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("spot") % 32).cast("int"))).alias("bits"))
-    found = bits.toPandas()
+def _spot(cls, doc_id, salt: int) -> np.ndarray:
+    turn = _mixed(np.array([salt], dtype=np.uint64) * _STEP)
+    mixed = _mixed(cls.astype(np.int64).view(np.uint64) ^ _mixed(doc_id.astype(np.int64).view(np.uint64) + turn))
+    return (mixed % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cls, first = batch.column("cls").to_numpy(), batch.column("first").to_numpy()
+        spot = np.unique(np.concatenate([_spot(cls, first, salt) for salt in (1, 2)]))
+        word, at = np.unique(spot >> 5, return_index=True)
+        bits = np.bitwise_or.reduceat(np.int64(1) << (spot & 31), at) if len(at) else np.zeros(0, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits)], names=["word", "bits"])
+
+
+def _filter_words(chosen: DataFrame) -> np.ndarray:
+    """Filter of the (class, first document) pairs whose sets are needed: FILTER_BITS / 32 words at most."""
+    found = chosen.mapInArrow(_spots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     words = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
     words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
     return words
 
 
 def _ordered_sets(order, words):
+    """The sets that pass the filter; it may let a few more through, which no pair asks for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
         for batch in batches:
-            ends, values = _lists(batch.column("shingles"))
-            hit = np.ones(batch.num_rows, dtype=bool)
-            for name in ("spot1", "spot2"):
-                spot = batch.column(name).to_numpy()
+            sets = shingle_sets(batch.column("text"))
+            cls = np.array([class_of(x) for x in sets], dtype=np.int64)
+            hit = np.array([len(x) > 0 for x in sets], dtype=bool)
+            for salt in (1, 2):
+                spot = _spot(cls, batch.column("number").to_numpy(), salt)
                 hit &= (words.value[spot >> 5] >> (spot & 31).astype(np.uint32)) & 1 == 1
-            rows, ids = [], []
-            for i in np.flatnonzero(hit).tolist():
-                cls = batch.column("cls")[i].as_py()
-                if cls not in seen:
-                    if len(seen) < CHUNK:
-                        seen.add(cls)
-                    ids.append(cls)
-                    rows.append(order.value.sort(values[ends[i]:ends[i + 1]])[::-1].tobytes())
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names=["cls", "ordered"])
+            at = np.flatnonzero(hit)
+            if len(at):
+                ordered = [order.value.sort(sets[i])[::-1].tobytes() for i in at.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(ordered, pa.binary())], names=["cls", "ordered"])
     return run
 
 
@@ -267,48 +337,61 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.unionByName(leaders).groupBy("leader", "block").applyInPandas(run, "source long, target long")
 
 
-def _reach(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and places of a common shingle leave room for the needed overlap."""
-    n, m = F.shiftright(a, 32), F.shiftright(b, 32)
-    i, j = F.col(a).bitwiseAND(0xFFFFFFFF), F.col(b).bitwiseAND(0xFFFFFFFF)
-    most = F.least(i, j) + F.least(n - i, m - j)
-    return (100 + percent) * most >= percent * (n + m)
+def _sizes_allow(a: str, b: str, percent: int) -> Column:
+    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+
+
+def _number(doc_id: Column) -> Column:
+    """A number standing for a doc_id in the filter."""
+    return F.xxhash64(doc_id)
 
 
 def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(sets per row, component per class): the rows with their class, and the classes' components."""
     small_batches(docs)
-    text = text_of(column)
-    shingled = docs.select("doc_id", shingles_of(text).alias("shingles"))
-    keyed = shingled.withColumn("cls", F.xxhash64(F.array_sort("shingles"), F.size("shingles")))
-    rows = write_stage(keyed.select("doc_id", F.size("shingles").cast("long").alias("n_shingles"), "cls"), "classes")
-
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", docs[column].cast("string").alias("text"))
+    read = write_stage(texts.mapInArrow(
+        _classified, f"doc_id {kind}, n_shingles long, cls long, shingle long, n long"), "classes")
+    rows = read.where("shingle IS NULL").select("doc_id", "n_shingles", "cls")
     context = docs.sparkSession.sparkContext
-    order = context.broadcast(global_order(keyed))
-    postings = keyed.select("cls", "shingles").mapInArrow(_postings(order, percent), "token long, cls long, place long")
-    home = Window.partitionBy("token")
-    hits = postings.withColumn("leader", F.min(F.struct("cls", "place")).over(home)).withColumn("_top", F.max("cls").over(home))
-    hits = hits.where(F.col("_top") > F.col("leader.cls")).drop("_top")
-    hits = write_stage(hits.select("token", "cls", "place", F.col("leader.cls").alias("leader"), F.col("leader.place").alias("leader_place")), "hits")
+    order = context.broadcast(global_order(read.where("shingle IS NOT NULL").select("shingle", "n")))
+    classes = rows.where("n_shingles > 0").groupBy("cls").agg(
+        F.min("n_shingles").alias("size"), F.min(_number(F.col("doc_id"))).alias("first"))
 
-    words = context.broadcast(_filter_words(hits.select("cls").distinct()))
-    spots = [F.pmod(F.xxhash64("cls", F.lit(s)), F.lit(FILTER_BITS)).alias(f"spot{s}") for s in (1, 2)]
-    sets = keyed.select("cls", "shingles", *spots).mapInArrow(_ordered_sets(order, words), "cls long, ordered binary")
-    sets = write_stage(sets.dropDuplicates(["cls"]), "sets")
-
-    first = hits.where((F.col("cls") != F.col("leader")) & _reach("place", "leader_place", percent)).select(
+    postings = texts.select("text").mapInArrow(_postings(order, percent), "token long, cls long")
+    home = Window.partitionBy("token")
+    shared = postings.withColumn("_a", F.min("cls").over(home)).withColumn("_b", F.max("cls").over(home)).where("_a < _b")
+    hits = write_stage(shared.select("token", "cls"), "hits").distinct().join(classes, "cls")
+    # Sorted by size, a class has a partner of allowed size if a neighbour is one.
+    by_size = home.orderBy("size", "cls")
+    hits = hits.withColumns({"_less": F.lag("size").over(by_size), "_more": F.lead("size").over(by_size)})
+    fits = (F.coalesce(100 * F.col("_less"), F.lit(-1)) >= percent * F.col("size")) | (
+        100 * F.col("size") >= percent * F.col("_more"))
+    hits = hits.where(F.coalesce(fits, F.lit(False))).withColumn("leader", F.min(F.struct("cls", "size")).over(home))
+    hits = write_stage(hits.select("token", "cls", "size", "first", F.col("leader.cls").alias("leader"), F.col("leader.size").alias("leader_size")), "hits")
+
+    words = context.broadcast(_filter_words(hits.select("cls", "first").distinct()))
+    sets = write_stage(texts.select("text", _number(F.col("doc_id")).alias("number")).mapInArrow(
+        _ordered_sets(order, words), "cls long, ordered binary"), "sets")
+
+    first = hits.where((F.col("cls") != F.col("leader")) & _sizes_allow("size", "leader_size", percent)).select(
         "leader", F.col("cls").alias("member")).distinct()
     links = write_stage(_verify(first, sets, percent), "links")
     labels = write_stage(connected_components(links), "labels")
 
     named = hits.join(labels, F.col("cls") == F.col("account"), "left").select(
-        "token", "cls", "place", F.coalesce("component", "cls").alias("label"))
+        "token", "cls", "size", F.coalesce("component", "cls").alias("label"))
     mixed = named.withColumn("_a", F.min("label").over(home)).withColumn("_b", F.max("label").over(home)).where("_a < _b").drop("_a", "_b")
     mixed = write_stage(mixed, "mixed")
-    other = mixed.select("token", F.col("cls").alias("member"), F.col("place").alias("member_place"), F.col("label").alias("member_label"))
+    other = mixed.select("token", F.col("cls").alias("member"), F.col("size").alias("member_size"), F.col("label").alias("member_label"))
+    # The shared shingles come first in both prefixes, so a similar pair shares several there.
+    needed = F.ceil((F.col("size") + F.col("member_size")) * percent / (100 + percent)) - F.ceil(
+        F.greatest("size", "member_size") * percent / 100) + 1
     second = mixed.withColumnRenamed("cls", "leader").join(other, "token").where(
-        (F.col("leader") < F.col("member")) & (F.col("label") != F.col("member_label")) & _reach("place", "member_place", percent)
-    ).select("leader", "member").distinct()
+        (F.col("leader") < F.col("member")) & (F.col("label") != F.col("member_label")) & _sizes_allow("size", "member_size", percent)
+    ).groupBy("leader", "member", needed.alias("needed")).agg(F.count(F.lit(1)).alias("common")).where(
+        "common >= needed").select("leader", "member")
     more = write_stage(_verify(second, sets, percent), "links")
     return rows, connected_components(links.unionByName(more))
 
