@@ -33,6 +33,7 @@ class Settings:
     candidates: int = 100
     network_nodes: int = 80
     network_weight: float = 2
+    community_rounds: int | None = None
     topics: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:

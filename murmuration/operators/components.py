@@ -75,8 +75,11 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     )
 
 
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(account, community): weighted label propagation with a fixed number of rounds.
+def communities(edges: DataFrame, rounds: int | None = 5) -> DataFrame:
+    """(account, community): weighted label propagation.
+
+    ``rounds`` is the number of rounds; ``None`` goes on until no label changes, or until labels
+    only swap back and forth, for ``MAX_ROUNDS`` at most.
 
     Every account starts as its own label and then takes, at the same time as all others, the
     label of greatest summed edge weight among its neighbours; ties go to the smallest label.
@@ -88,11 +91,17 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
         "neighbours",
     )
     labels = links.select(F.col("source").alias("account")).distinct().withColumn("community", F.col("account"))
-    for _ in range(rounds):
+    prints: list[tuple] = []
+    for _ in range(MAX_ROUNDS if rounds is None else rounds):
         seen = labels.select(F.col("account").alias("target"), "community")
         votes = links.join(seen, "target").groupBy("source", "community").agg(F.sum("weight").alias("votes"))
         best = F.min(F.struct((-F.col("votes")).alias("votes"), "community"))["community"]
         labels = write_stage(
             votes.groupBy(F.col("source").alias("account")).agg(best.alias("community")), "labels"
         )
+        if rounds is None:
+            prints.append(tuple(labels.agg(F.sum(F.xxhash64("account", "community").cast("decimal(38,0)"))).first()))
+            # The same labels as one or two rounds ago: nothing new can follow.
+            if prints[-1] in prints[-3:-1]:
+                break
     return labels

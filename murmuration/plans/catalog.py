@@ -116,7 +116,8 @@ def resume_cursor(spark, d):
 
 
 def scan_window(spark, d):
-    return flat(R.activity_window(B.activity(spark, d), "click", "2024-01-05", "2024-01-20"))
+    by_day = write_stage(R.add_day(B.activity(spark, d)), "activity", "day")
+    return flat(R.activity_window(by_day, "click", "2024-01-05", "2024-01-20").drop("day"))
 
 
 def normalize_activity(spark, d):
@@ -258,7 +259,7 @@ def tfidf_weights(spark, d):
 
 def topk_cosine(spark, d):
     near = duplicates.nearest_rows(_eligible_documents(spark, d), PLAIN.near_duplicate_threshold)
-    return flat(near.where("rank > 1 or id_b <> id_a").select("id_a", "rank", "id_b", "similarity"))
+    return flat(near.where("rank > 1 or row_b <> row_a").select("id_a", "rank", "id_b", "similarity"))
 
 
 def near_duplicate_pairs(spark, d):
@@ -266,6 +267,16 @@ def near_duplicate_pairs(spark, d):
     return flat(pairs.withColumns({"text_a": F.md5("text_a"), "text_b": F.md5("text_b")}))
 
 
+def near_duplicate_pairs_sparse_ids(spark, d):
+    """Every seventh document without an id, and two documents sharing each of the others' ids."""
+    number = F.col("id").cast("long")
+    rows = B.document_rows(spark, d).withColumn("id", F.when(number % 7 != 0, F.floor(number / 2).cast("string")))
+    pairs = duplicates.near_duplicate_pairs(R.eligible_activity(rows, PLAIN.min_text_chars), PLAIN.near_duplicate_threshold, 1000)
+    return flat(pairs.select(
+        F.least("created_a", "created_b").alias("first"), F.greatest("created_a", "created_b").alias("second"),
+        "similarity", F.md5("text_a").alias("text_a"), F.md5("text_b").alias("text_b")))
+
+
 def similar_text_edges(spark, d):
     pairs = duplicates.near_duplicate_pairs(_eligible_documents(spark, d), PLAIN.near_duplicate_threshold)
     return flat(edges.similar_text_edges(pairs))
@@ -288,6 +299,13 @@ def dbscan_labels(spark, d):
     return flat(density.dbscan_labels(B.vector_rows(spark, d).select("position", "embedding"), VECTOR_SIMILARITY, 3))
 
 
+def dbscan_zero_vectors(spark, d):
+    zero = F.col("position") % 10 == 0
+    rows = B.vector_rows(spark, d).select("position", F.when(zero, F.transform("embedding", lambda x: x * F.lit(0.0).cast("float"))).otherwise(
+        F.col("embedding")).alias("embedding"))
+    return flat(density.dbscan_labels(rows, VECTOR_SIMILARITY, 3))
+
+
 def cluster_summary(spark, d):
     return flat(density.cluster_summary(B.vector_rows(spark, d)))
 
@@ -306,7 +324,7 @@ QUERIES: dict[str, Query] = {
         new_account_daily_share, reply_edges, shared_thread_edges, temporal_pairs, network_edges, reply_graph,
         node_degree, top_degree_subgraph, top_degree_nodes, network_nodes, network_links, ego_neighbors,
         components, communities, tfidf_vocabulary, tfidf_weights, topk_cosine, near_duplicate_pairs,
-        similar_text_edges, latest_rows, embed_texts, cosine_neighbors, dbscan_labels, cluster_summary,
+        near_duplicate_pairs_sparse_ids, similar_text_edges, latest_rows, embed_texts, cosine_neighbors, dbscan_labels, dbscan_zero_vectors, cluster_summary,
         dataset_stats,
     )
 }

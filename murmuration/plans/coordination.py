@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from murmuration.config import Settings
 from murmuration.operators import accounts as A
-from murmuration.operators import daily, density, duplicates, edges, embed, graph, ranking
-from murmuration.session import prepare, stages_removed
+from murmuration.operators import components, daily, density, duplicates, edges, embed, graph, ranking
+from murmuration.session import prepare, stages_removed, write_stage
 from murmuration.sources import raw as R
 
 
@@ -23,7 +23,8 @@ def cluster_texts(eligible: DataFrame, settings: Settings, encoder=None) -> Data
     ``encoder`` adds an ``embedding`` column to a DataFrame of (position, text); without one,
     hashed words are used.
     """
-    latest = ranking.latest_rows(eligible, settings.max_embedding_rows)
+    # Written once: the labels are joined back to the very rows that were embedded.
+    latest = write_stage(ranking.latest_rows(eligible, settings.max_embedding_rows), "latest")
     texts = latest.select("position", "text")
     vectors = encoder(texts) if encoder else embed.hashed_word_vectors(texts, "position")
     labels = density.dbscan_labels(
@@ -48,20 +49,25 @@ def run(spark: SparkSession, raw_dir: str, out_dir: str, settings: Settings, enc
 def _run(spark: SparkSession, raw_dir: str, out_dir: str, settings: Settings, encoder) -> dict[str, str]:
     paths: dict[str, str] = {}
 
-    def save(name: str, df: DataFrame) -> DataFrame:
+    def save(name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         paths[name] = f"{out_dir.rstrip('/')}/{name}"
-        R.write_table(df, paths[name])
+        R.write_table(df, paths[name], partition_by)
         return spark.read.schema(df.schema).parquet(paths[name])
 
-    activity = save("activity", R.load_raw(spark, raw_dir))
+    asked = R.activity_window(R.load_raw(spark, raw_dir), settings.subreddits, settings.after, settings.before)
+    activity = save("activity", R.add_day(asked), "day")
     valid = R.valid_activity(activity)
     features = save("account_features", A.account_features(valid, settings))
     replies = save("interaction_edges", edges.reply_edges(valid))
-    save("shared_thread_edges", edges.shared_thread_edges(valid))
+    shared = save("shared_thread_edges", edges.shared_thread_edges(valid, settings.max_thread_authors))
+    save("skipped_threads", edges.skipped_threads(valid, settings.max_thread_authors))
+    save("components", components.connected_components(graph.heavy_edges(shared, settings.network_weight)))
+    save("communities", components.communities(shared, settings.community_rounds))
     save("temporal_edges", edges.temporal_edges(valid, settings.temporal_window_minutes))
 
-    eligible = R.eligible_activity(activity, settings.min_text_chars)
-    pairs = save("near_duplicate_pairs", duplicates.near_duplicate_pairs(eligible, settings.near_duplicate_threshold))
+    eligible = duplicates.keyed_rows(R.eligible_activity(activity, settings.min_text_chars))
+    near = (settings.near_duplicate_threshold, settings.neighbors, settings.max_features)
+    pairs = save("near_duplicate_pairs", duplicates.near_duplicate_pairs(eligible, *near))
     save("similar_text_edges", edges.similar_text_edges(pairs))
     clusters = save("semantic_clusters", cluster_texts(eligible, settings, encoder))
     save("semantic_cluster_summary", density.cluster_summary(clusters))
@@ -70,8 +76,11 @@ def _run(spark: SparkSession, raw_dir: str, out_dir: str, settings: Settings, en
     save("new_account_daily_share", daily.new_account_daily_share(
         activity, settings.very_new_account_days, settings.new_account_days))
     save("topic_summary", A.topic_summary(features))
-    save("candidate_accounts", ranking.rank_candidates(features))
-    selected = save("network_edges", graph.select_graph(replies))
+    ranked = save("candidate_accounts", ranking.rank_candidates(features, settings.candidates))
+    save("candidate_preview", ranking.candidate_preview(ranked))
+    save("feature_preview", A.feature_preview(features))
+    selected = save("network_edges", graph.select_graph(replies, settings.network_weight, settings.network_nodes))
+    save("ego_neighbors", graph.ego_neighbors(graph.heavy_edges(graph.network_edges(replies), settings.network_weight)))
     scored = ranking.S.coordination_score(features)
     save("network_nodes", graph.network_nodes(selected, scored))
     save("network_links", graph.network_links(selected))

@@ -189,7 +189,7 @@ pairs AS (
 
 _VECTORS = f"""unit AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
-    sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings),
+    nullif(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 0) AS norm FROM embeddings),
 reps AS (SELECT min(vec_id) AS rep, count(*) AS copies, e, any_value(norm) AS norm FROM unit GROUP BY e),
 near AS MATERIALIZED (
   SELECT a.rep AS rep_a, b.rep AS rep_b, round(list_inner_product(a.e, b.e) / (a.norm * b.norm), 9) AS similarity
@@ -360,6 +360,14 @@ FROM keyed JOIN weights USING (id) GROUP BY key, copies""",
     "topk_cosine": f"""WITH {_NEAR}
 SELECT id_a, rank, id_b, round(similarity, 6) AS similarity FROM ranked WHERE rank <= 10""",
     "near_duplicate_pairs": f"WITH {_NEAR} SELECT * REPLACE (round(similarity, 6) AS similarity) FROM pairs",
+    "near_duplicate_pairs_sparse_ids": f"""WITH {_GRAMS},
+alike AS (
+  SELECT a.id AS id_a, b.id AS id_b, least(round(sum(a.w * b.w), 9), 1.0) AS similarity
+  FROM weights a JOIN weights b ON a.gram = b.gram AND a.id <> b.id
+  GROUP BY a.id, b.id HAVING round(sum(a.w * b.w), 9) >= 0.88)
+SELECT least(a.us, b.us) AS first, greatest(a.us, b.us) AS second, round(similarity, 6) AS similarity,
+  md5(a.text) AS text_a, md5(b.text) AS text_b
+FROM alike r JOIN eligible a ON a.id = r.id_a JOIN eligible b ON b.id = r.id_b WHERE a.author <> b.author""",
     "similar_text_edges": f"""WITH {_NEAR}
 SELECT least(author_a, author_b) AS source, greatest(author_a, author_b) AS target, count(*) AS weight,
   round(max(similarity), 6) AS max_similarity FROM pairs GROUP BY ALL""",
@@ -378,6 +386,12 @@ SELECT id, dimension, round(CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY id)
 FROM sums QUALIFY value <> 0""",
     "cosine_neighbors": f"WITH {_VECTORS} SELECT rep_a, rep_b, round(similarity, 6) AS similarity FROM near",
     "dbscan_labels": _DBSCAN,
+    "dbscan_zero_vectors": _DBSCAN.replace(
+        "FROM embeddings)", "FROM (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN list_transform(embedding, lambda x: x * 0) "
+        "ELSE embedding END AS embedding FROM embeddings))").replace(
+        "reps AS (SELECT min(vec_id) AS rep, count(*) AS copies, e, any_value(norm) AS norm FROM unit GROUP BY e)",
+        "reps AS (SELECT min(vec_id) AS rep, count(*) AS copies, e, any_value(norm) AS norm FROM unit WHERE norm IS NOT NULL GROUP BY e)").replace(
+        "FROM unit u JOIN reps r ON", "FROM unit u LEFT JOIN reps r ON"),
     "cluster_summary": f"""WITH v AS (
   SELECT label, 'u' || vec_id % 20 AS author, {_START} + vec_id * 60000000 AS us, 's' || vec_id % 3 AS subreddit
   FROM embeddings WHERE label >= 0)

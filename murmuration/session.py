@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,40 +65,57 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def stage_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
+# Folders written on behalf of the run this thread is in; outside a run they have no owner.
+_RUN: ContextVar[list[str] | None] = ContextVar("stages", default=None)
+_UNOWNED: list[str] = []
 
 
-_WRITTEN: list[str] = []
+def stage_path(spark: SparkSession, label: str) -> str:
+    """A new folder for an intermediate table, registered with the run that asks for it."""
+    path = f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    owner = _RUN.get()
+    (_UNOWNED if owner is None else owner).append(path)
+    return path
 
 
-def write_stage(df: DataFrame, label: str) -> DataFrame:
+def write_stage(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts lineage (a lost executor re-reads files instead of recomputing rounds), and
     gives the optimiser real file sizes for the next join.
     """
     path = stage_path(df.sparkSession, label)
-    df.write.parquet(path)
-    _WRITTEN.append(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(hadoop).delete(target, True)
+    paths.clear()
+
+
 @contextmanager
 def stages_removed(spark: SparkSession):
     """Delete the intermediate tables written inside the block once it has ended.
 
-    Only for blocks that write their results themselves: lazy results still read those tables.
+    Every block owns its tables, so runs in several threads leave each other's alone. Only for
+    blocks that write their results themselves: lazy results still read those tables.
     """
-    start = len(_WRITTEN)
+    own: list[str] = []
+    token = _RUN.set(own)
     try:
         yield
     finally:
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _WRITTEN[start:]:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(hadoop).delete(target, True)
-        del _WRITTEN[start:]
+        _RUN.reset(token)
+        _delete(spark, own)
+
+
+def release_stages(spark: SparkSession) -> None:
+    """Delete the tables written outside any block, once nothing lazy reads them any more."""
+    _delete(spark, _UNOWNED)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmuration.schemas import LANDED_ROW
+from murmuration.session import write_stage
 
 # Places in a page where the row array may sit, in order of preference.
 ARRAY_PATHS = ("$", "$.data", "$.results", "$.items", "$.data.children")
@@ -74,3 +75,36 @@ def usable_pages(pages: DataFrame, limit: int, max_pages: int, keys: list[str],
     return numbered.withColumns({"_before": before, "_dense": gap}).where(
         (F.col("_before") == 0) & F.col("_dense") & (F.col("_nth") <= max_pages)
     ).select(*keys, page)
+
+
+def new_rows(pages: DataFrame, limit: int, max_pages: int, cursor: DataFrame | None = None,
+             keys: tuple[str, ...] = ("kind", "subreddit")) -> DataFrame:
+    """Rows a resumed load takes from landed pages: usable pages only, from the cursor on, once per id.
+
+    ``pages`` has the keys, ``page`` and ``payload``; ``cursor`` is what ``resume_cursor`` gave
+    for earlier pages. Rows without a readable time are taken whatever the cursor says.
+    """
+    flat = flatten_pages(pages.withColumnRenamed("subreddit", "_of") if "subreddit" in keys else pages)
+    flat = flat.drop("subreddit").withColumnRenamed("_of", "subreddit") if "subreddit" in keys else flat
+    used = usable_pages(flat, limit, max_pages, list(keys))
+    taken = flat.join(used, [*keys, "page"], "left_semi")
+    if cursor is not None:
+        created = F.col("created_utc").cast("string").try_cast("double")
+        start = F.col("next_after").try_cast("double")
+        taken = taken.join(cursor, list(keys), "left").where(
+            start.isNull() | created.isNull() | (created >= start)).drop("next_after")
+    return keep_first(taken, ["page", "pos"])
+
+
+def land_pages(pages: DataFrame, raw_dir: str, limit: int, max_pages: int, cursor: DataFrame | None = None,
+               batch: str = "landed") -> DataFrame:
+    """Write the new rows of landed pages as raw tables, one per kind; returns the next cursor.
+
+    ``batch`` names this load, so that later ones add to the folder instead of replacing it.
+    """
+    rows = write_stage(new_rows(pages, limit, max_pages, cursor), "landed")
+    for kind, name in (("post", "posts"), ("comment", "comments")):
+        rows.where(F.col("kind") == kind).drop("kind", "page", "pos").write.parquet(f"{raw_dir.rstrip('/')}/{batch}_{name}.parquet")
+    return resume_cursor(rows if cursor is None else rows.select("kind", "subreddit", "created_utc").unionByName(
+        cursor.select("kind", "subreddit", (F.col("next_after").try_cast("long") - 1).cast("string").alias("created_utc"))),
+        ["kind", "subreddit"])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,9 @@ from murmuration.schemas import PREFERRED_COLUMNS
 
 KINDS = ("posts", "comments")
 
+# Column holding the name of the raw file while rows are read.
+FILE = "_raw_file"
+
 # Columns later steps read from activity besides those attached here.
 ACTIVITY_COLUMNS = {"id": "string", "subreddit": "string", "link_id": "string", "parent_id": "string", "score": "long"}
 
@@ -44,34 +50,85 @@ def raw_files(spark: SparkSession, raw_dir: str, kinds=KINDS) -> DataFrame:
     return listing.where(F.col("file") != "").distinct()
 
 
+def _parquet(spark: SparkSession, *paths: str) -> DataFrame:
+    part = spark.read.option("mergeSchema", "true").parquet(*paths)
+    return part.withColumn(FILE, _file_name())
+
+
+def _by_types(spark: SparkSession, glob: str) -> DataFrame | None:
+    """Files whose columns disagree in type: read per set of types, disagreeing columns as text.
+
+    Only file names come to the driver, one per raw file, and each file's footer is read once.
+    """
+    listed = spark.read.format("binaryFile").load(glob).select("path").distinct().orderBy("path")
+    groups: dict[str, list[str]] = {}
+    for row in listed.toLocalIterator():
+        groups.setdefault(spark.read.parquet(row["path"]).schema.json(), []).append(row["path"])
+    parts = [_parquet(spark, *paths) for paths in groups.values()]
+    kinds: dict[str, set[str]] = {}
+    for part in parts:
+        for name, kind in part.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    mixed = {name for name, found in kinds.items() if len(found) > 1}
+    united = None
+    for part in parts:
+        plain = part.withColumns({c: F.col(c).cast("string") for c in part.columns if c in mixed})
+        united = plain if united is None else united.unionByName(plain, allowMissingColumns=True)
+    return united
+
+
 def _read_kind(spark: SparkSession, raw_dir: str, kind: str, schema: T.StructType | None) -> DataFrame | None:
-    reader = spark.read if schema is None else spark.read.schema(schema)
+    """Rows of one kind with the name of their file; None without any file.
+
+    Files may hold one column in different types (times as text in one, as a number in another).
+    With ``schema`` columns are brought to its types, unreadable values becoming null.
+    """
+    (glob,) = _globs(raw_dir, (kind,))
     try:
-        return reader.option("mergeSchema", "true").parquet(*_globs(raw_dir, (kind,)))
+        part = _parquet(spark, glob)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
             return None
         raise
+    except PySparkException as error:
+        if "CANNOT_MERGE_SCHEMA" not in str(error):
+            raise
+        part = _by_types(spark, glob)
+    if schema is None or part is None:
+        return part
+    have = set(part.columns)
+    return part.select(FILE, *[
+        (F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
 
 
 def read_raw(spark: SparkSession, raw_dir: str, schemas: dict[str, T.StructType] | None = None) -> DataFrame:
     """Rows of every ``*_posts`` and ``*_comments`` file, united by column name.
 
-    ``kind`` comes from the file name. With ``schemas`` (one per kind) no footer is opened
-    while planning, which is what a folder of many files wants.
+    ``kind`` comes from the file name. ``schemas`` (one per kind, see ``schemas.RAW_POSTS``)
+    fixes columns and types whatever the files hold.
     """
     united = None
     for kind in KINDS:
         part = _read_kind(spark, raw_dir, kind, (schemas or {}).get(kind))
         if part is None:
             continue
-        tagged = part.withColumn("kind", F.when(_file_name().contains("_posts"), "post").otherwise("comment"))
+        tagged = part.withColumn("kind", F.when(F.col(FILE).contains("_posts"), "post").otherwise("comment")).drop(FILE)
+        if united is not None:
+            tagged, united = _same_types(tagged, united)
         united = tagged if united is None else united.unionByName(tagged, allowMissingColumns=True)
     if united is None:
         raise FileNotFoundError("No raw parquet files. Land posts or comments first.")
     return united
 
 
+def _same_types(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Columns of both frames whose types disagree, as text."""
+    left, right = dict(a.dtypes), dict(b.dtypes)
+    mixed = [c for c in left if c in right and left[c] != right[c]]
+    text = {c: F.col(c).cast("string") for c in mixed}
+    return (a.withColumns(text), b.withColumns(text)) if mixed else (a, b)
+
+
 def normalize_activity(raw: DataFrame) -> DataFrame:
     """Attach author, ``created_dt`` and ``text``; absent columns count as null."""
     have = set(raw.columns)
@@ -101,15 +158,28 @@ def eligible_activity(activity: DataFrame, min_text_chars: int) -> DataFrame:
     return X.add_norm_text(long_enough)
 
 
-def activity_window(activity: DataFrame, subreddit: str | None = None, after=None, before=None) -> DataFrame:
-    """Subreddit and time range; plain column filters, so they reach the file scan."""
+def add_day(activity: DataFrame) -> DataFrame:
+    """Activity with its ``day``, the column it is partitioned by when written."""
+    return activity.withColumn("day", F.to_date("created_dt"))
+
+
+def activity_window(activity: DataFrame, subreddits: str | Iterable[str] | None = None, after=None, before=None) -> DataFrame:
+    """Subreddits and time range, ``after`` included and ``before`` not.
+
+    Where the table has its ``day`` (see ``add_day``) the range is put on that as well, so whole
+    partitions are skipped; the subreddit filter reaches the file scan.
+    """
     out = activity
-    if subreddit is not None:
-        out = out.where(F.col("subreddit") == subreddit)
-    if after is not None:
-        out = out.where(F.col("created_dt") >= F.lit(after).cast("timestamp"))
-    if before is not None:
-        out = out.where(F.col("created_dt") < F.lit(before).cast("timestamp"))
+    if subreddits:
+        names = [subreddits] if isinstance(subreddits, str) else list(subreddits)
+        out = out.where(F.col("subreddit").isin(names))
+    for bound, later in ((after, True), (before, False)):
+        if bound is None:
+            continue
+        at = F.lit(bound).cast("timestamp")
+        out = out.where(F.col("created_dt") >= at if later else F.col("created_dt") < at)
+        if "day" in activity.columns:
+            out = out.where(F.col("day") >= F.to_date(at) if later else F.col("day") <= F.to_date(at))
     return out
 
 
@@ -122,14 +192,14 @@ def load_kind(spark: SparkSession, raw_dir: str, kind: str, schema: T.StructType
     part = _read_kind(spark, raw_dir, kind, schema)
     if part is None:
         return spark.createDataFrame([], "id string")
-    from_file = subreddit_of_file(_file_name(), kind)
+    from_file = subreddit_of_file(F.col(FILE), kind)
     if "subreddit" in part.columns:
         kept = F.col("subreddit").cast("string")
         filled = part.withColumn("subreddit", F.when(F.trim(kept) != "", kept).otherwise(from_file))
     else:
         filled = part.withColumn("subreddit", from_file)
     first = [c for c in PREFERRED_COLUMNS[kind] if c in filled.columns]
-    return filled.select(*first, *[c for c in filled.columns if c not in first])
+    return filled.select(*first, *[c for c in filled.columns if c not in first and c != FILE])
 
 
 def kind_counts(spark: SparkSession, raw_dir: str, kinds=KINDS) -> DataFrame:
@@ -140,7 +210,7 @@ def kind_counts(spark: SparkSession, raw_dir: str, kinds=KINDS) -> DataFrame:
         part = _read_kind(spark, raw_dir, kind, None)
         if part is None:
             continue
-        one = part.groupBy(_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"))
+        one = part.groupBy(F.col(FILE).alias("file")).agg(F.count(F.lit(1)).alias("n"))
         counted = one if counted is None else counted.unionByName(one)
     if counted is None:
         counted = spark.createDataFrame([], "file string, n long")
