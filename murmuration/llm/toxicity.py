@@ -217,13 +217,15 @@ def text_logits(net: Network, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
     return best, logits, laid
 
 
-def _log_odds(buckets: np.ndarray, docs: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+def _log_odds(per_text: Iterator[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
     """Smoothed log odds of a bucket's texts being toxic: a first guess for one dimension."""
-    pairs = np.unique(np.stack([buckets, docs]), axis=1)
-    bad = np.bincount(pairs[0], toxic[pairs[1]], size)
-    all_ = np.bincount(pairs[0], minlength=size)
+    bad, every = np.zeros(size), np.zeros(size)
+    for buckets, y in zip(per_text, toxic):
+        found = np.unique(buckets)
+        every[found] += 1
+        bad[found] += y
     share = max(toxic.mean(), 1e-3)
-    return np.log((bad + 8 * share) / (all_ - bad + 8 * (1 - share))) - np.log(share / max(1 - share, 1e-3))
+    return np.log((bad + 8 * share) / (every - bad + 8 * (1 - share))) - np.log(share / max(1 - share, 1e-3))
 
 
 def train(rows: list[tuple[str, int]], base_rate: float, how: Training = Training()) -> Network | None:
@@ -245,15 +247,13 @@ def train(rows: list[tuple[str, int]], base_rate: float, how: Training = Trainin
     laid = Words([rows[i][0] for i in fit], how)
     label = y[fit]
     _, hashed, grams, owner = features(net, laid.words)
-    flat_words, flat_docs = laid.windows[laid.mask], np.repeat(laid.owner, laid.mask.sum(axis=1))
-    pairs = np.unique(np.stack([flat_words, flat_docs]), axis=1)
-    net.words[:, 0] = _log_odds(hashed[pairs[0]], pairs[1], label, how.buckets)
     starts = np.argsort(owner, kind="stable")
     bounds = np.searchsorted(owner[starts], np.arange(len(laid.words) + 1))
-    counts = (bounds[1:] - bounds[:-1])[pairs[0]]
-    offsets = np.repeat(bounds[:-1][pairs[0]] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-    expanded = grams[starts][offsets + np.arange(counts.sum())]
-    net.grams[:, 0] = _log_odds(expanded, np.repeat(pairs[1], counts), label, how.buckets)
+    edges = np.searchsorted(laid.owner, np.arange(len(fit) + 1))
+    used = (np.unique(laid.windows[a:b][laid.mask[a:b]]) for a, b in zip(edges, edges[1:]))
+    net.words[:, 0] = _log_odds((hashed[w] for w in used), label, how.buckets)
+    used = (np.unique(laid.windows[a:b][laid.mask[a:b]]) for a, b in zip(edges, edges[1:]))
+    net.grams[:, 0] = _log_odds((grams[np.concatenate([starts[bounds[i]:bounds[i + 1]] for i in w])] for w in used), label, how.buckets)
     gru = Gru(how)
     net.p = gru.start(rng)
     x = features(net, laid.words)[0]

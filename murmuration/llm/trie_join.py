@@ -9,9 +9,11 @@ ordered sets (frequent first, so that near copies share their path), and the lea
 down the trie. The overlap of a path is computed once for all members behind it, and a subtree is
 left as soon as the shingles that remain cannot reach the needed overlap.
 
-The first pass compares the members of a shingle's group with one leader only, and what is found
-linked is merged. The second pass compares what still differs, so every link between different
-components is found, while a group of thousands of near copies never meets pair by pair.
+Pairs are only formed for shingles of a few classes. In the group of a common shingle all members
+are compared with one leader first, and what is found linked is merged; a second pass then takes
+the pairs that are still in different components. So every link between different components is
+found, while a group of thousands of near copies never meets pair by pair. A pair must share a
+number of its first shingles that follows from both sizes, which is counted before sets travel.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ FREQUENT = 1 << 17
 FILTER_BITS = 1 << 25
 CHUNK = 1 << 20
 BLOCK = 128
+# A shingle of at most so many classes makes all their pairs; beyond, leaders come first.
+CROWD = 16
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -341,6 +345,16 @@ def _sizes_allow(a: str, b: str, percent: int) -> Column:
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
+def _common(a: str, b: str, percent: int) -> Column:
+    """Least number of shingles a similar pair of these sizes has in common among both prefixes.
+
+    Common shingles in global order are the same sequence for both sets, so those inside the
+    prefix of one are the first of them, and the shorter of the two beginnings is in both.
+    """
+    overlap = F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent))
+    return overlap - F.ceil(F.greatest(a, b) * percent / 100) + 1
+
+
 def _number(doc_id: Column) -> Column:
     """A number standing for a doc_id in the filter."""
     return F.xxhash64(doc_id)
@@ -363,36 +377,51 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
     home = Window.partitionBy("token")
     shared = postings.withColumn("_a", F.min("cls").over(home)).withColumn("_b", F.max("cls").over(home)).where("_a < _b")
     hits = write_stage(shared.select("token", "cls"), "hits").distinct().join(classes, "cls")
-    # Sorted by size, a class has a partner of allowed size if a neighbour is one.
-    by_size = home.orderBy("size", "cls")
-    hits = hits.withColumns({"_less": F.lag("size").over(by_size), "_more": F.lead("size").over(by_size)})
-    fits = (F.coalesce(100 * F.col("_less"), F.lit(-1)) >= percent * F.col("size")) | (
-        100 * F.col("size") >= percent * F.col("_more"))
-    hits = hits.where(F.coalesce(fits, F.lit(False))).withColumn("leader", F.min(F.struct("cls", "size")).over(home))
-    hits = write_stage(hits.select("token", "cls", "size", "first", F.col("leader.cls").alias("leader"), F.col("leader.size").alias("leader_size")), "hits")
-
-    words = context.broadcast(_filter_words(hits.select("cls", "first").distinct()))
-    sets = write_stage(texts.select("text", _number(F.col("doc_id")).alias("number")).mapInArrow(
-        _ordered_sets(order, words), "cls long, ordered binary"), "sets")
-
-    first = hits.where((F.col("cls") != F.col("leader")) & _sizes_allow("size", "leader_size", percent)).select(
-        "leader", F.col("cls").alias("member")).distinct()
-    links = write_stage(_verify(first, sets, percent), "links")
+    hits = write_stage(hits.withColumn("crowd", F.count(F.lit(1)).over(home)), "hits")
+    crowded = hits.where(F.col("crowd") > CROWD)
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """Ordered sets of the classes in pairs, read from the texts once more."""
+        chosen = pairs.select(F.explode(F.array("leader", "member")).alias("cls")).distinct().join(classes, "cls")
+        words = context.broadcast(_filter_words(chosen.select("cls", "first")))
+        return write_stage(texts.select("text", _number(F.col("doc_id")).alias("number")).mapInArrow(
+            _ordered_sets(order, words), "cls long, ordered binary"), "sets")
+
+    # Shingles of few classes: all pairs, counted. Those of many: everyone with the smallest class.
+    late = crowded.groupBy("cls").agg(F.count(F.lit(1)).alias("late"))
+    few = hits.where(F.col("crowd") <= CROWD).join(late, "cls", "left").select(
+        "token", "cls", "size", F.coalesce("late", F.lit(0)).alias("late"))
+    other = few.select("token", *[F.col(c).alias(f"other_{c}") for c in ("cls", "size", "late")])
+    counted = few.join(other, "token").where((F.col("cls") < F.col("other_cls")) & _sizes_allow("size", "other_size", percent))
+    counted = counted.groupBy("cls", "other_cls").agg(
+        F.count(F.lit(1)).alias("common"), *[F.first(c).alias(c) for c in ("size", "other_size", "late", "other_late")])
+    close = counted.where(F.col("common") + F.least("late", "other_late") >= _common("size", "other_size", percent))
+    stars = crowded.withColumn("leader", F.min(F.struct("cls", "size")).over(home)).where(
+        F.col("cls") > F.col("leader.cls")).select("cls", "size", F.col("leader.cls").alias("leader"), F.col("leader.size").alias("leader_size"))
+    stars = stars.where(_sizes_allow("size", "leader_size", percent))
+    first = write_stage(
+        close.select(F.col("cls").alias("leader"), F.col("other_cls").alias("member")).unionByName(
+            stars.select("leader", F.col("cls").alias("member"))).distinct(), "pairs")
+    links = write_stage(_verify(first, sets_of(first), percent), "links")
     labels = write_stage(connected_components(links), "labels")
 
-    named = hits.join(labels, F.col("cls") == F.col("account"), "left").select(
+    # What is still apart in the shingles of many classes.
+    named = crowded.join(labels, F.col("cls") == F.col("account"), "left").select(
         "token", "cls", "size", F.coalesce("component", "cls").alias("label"))
     mixed = named.withColumn("_a", F.min("label").over(home)).withColumn("_b", F.max("label").over(home)).where("_a < _b").drop("_a", "_b")
-    mixed = write_stage(mixed, "mixed")
-    other = mixed.select("token", F.col("cls").alias("member"), F.col("size").alias("member_size"), F.col("label").alias("member_label"))
-    # The shared shingles come first in both prefixes, so a similar pair shares several there.
-    needed = F.ceil((F.col("size") + F.col("member_size")) * percent / (100 + percent)) - F.ceil(
-        F.greatest("size", "member_size") * percent / 100) + 1
-    second = mixed.withColumnRenamed("cls", "leader").join(other, "token").where(
-        (F.col("leader") < F.col("member")) & (F.col("label") != F.col("member_label")) & _sizes_allow("size", "member_size", percent)
-    ).groupBy("leader", "member", needed.alias("needed")).agg(F.count(F.lit(1)).alias("common")).where(
-        "common >= needed").select("leader", "member")
-    more = write_stage(_verify(second, sets, percent), "links")
+    less = few.groupBy("cls").agg(F.count(F.lit(1)).alias("late"))
+    mixed = write_stage(mixed.join(less, "cls", "left").withColumn("late", F.coalesce("late", F.lit(0))), "mixed")
+    other = mixed.select("token", *[F.col(c).alias(f"other_{c}") for c in ("cls", "size", "late", "label")])
+    apart = mixed.join(other, "token").where(
+        (F.col("cls") < F.col("other_cls")) & (F.col("label") != F.col("other_label")) & _sizes_allow("size", "other_size", percent))
+    counted = apart.groupBy("cls", "other_cls").agg(
+        F.count(F.lit(1)).alias("common"), *[F.first(c).alias(c) for c in ("size", "other_size", "late", "other_late")])
+    second = write_stage(
+        counted.where(F.col("common") + F.least("late", "other_late") >= _common("size", "other_size", percent)).select(
+            F.col("cls").alias("leader"), F.col("other_cls").alias("member")), "pairs")
+    if second.isEmpty():
+        return rows, connected_components(links)
+    more = write_stage(_verify(second, sets_of(second), percent), "links")
     return rows, connected_components(links.unionByName(more))
 
 
