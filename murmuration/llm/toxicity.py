@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from murmuration.llm.common import besides, held_out, labelled_sample, slices, small_batches
 
 SLICE_CHARS = 600_000
+# Words whose n-grams are laid out at a time.
+PART = 20_000
 THRESHOLD = 0.3
 
 
@@ -62,27 +64,33 @@ def _hashed_words(words: list[str], buckets: int) -> np.ndarray:
 
 
 def _hashed_grams(words: list[str], how: Training) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, word number) of the character n-grams of ``<word>``; every word has at least one."""
-    joined = "".join(f"\x02{w}\x03" for w in words)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    lengths = np.array([len(w) + 2 for w in words])
-    owner = np.repeat(np.arange(len(words)), lengths)
-    found, owners = [], []
-    for n in how.orders:
-        if len(codes) < n:
-            continue
-        size = len(codes) - n + 1
-        mixed = np.full(size, n, dtype=np.uint64)
-        for i in range(n):
-            mixed = (mixed ^ codes[i:i + size]) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(31)
-        inside = owner[:size] == owner[n - 1:]
-        found.append((mixed[inside] % np.uint64(how.buckets)).astype(np.int64))
-        owners.append(owner[:size][inside])
-    whole = _hashed_words(words, how.buckets)
-    found.append(whole)
-    owners.append(np.arange(len(words)))
-    return np.concatenate(found), np.concatenate(owners)
+    """Buckets of the character n-grams of ``<word>``, word after word, and where each word's begin.
+
+    The whole word counts as an n-gram too, so every word has at least one.
+    """
+    parts, sizes = [], []
+    for lo in range(0, len(words), PART):
+        some = words[lo:lo + PART]
+        codes = np.frombuffer("".join(f"\x02{w}\x03" for w in some).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        owner = np.repeat(np.arange(len(some), dtype=np.int32), [len(w) + 2 for w in some])
+        found, owners = [_hashed_words(some, how.buckets).astype(np.int32)], [np.arange(len(some), dtype=np.int32)]
+        for n in how.orders:
+            size = len(codes) - n + 1
+            if size <= 0:
+                continue
+            inside = owner[:size] == owner[n - 1:]
+            mixed = np.full(size, n, dtype=np.uint64)
+            for i in range(n):
+                mixed = (mixed ^ codes[i:i + size]) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(31)
+            found.append((mixed[inside] % np.uint64(how.buckets)).astype(np.int32))
+            owners.append(owner[:size][inside])
+        every = np.concatenate(owners)
+        parts.append(np.concatenate(found)[np.argsort(every, kind="stable")])
+        sizes.append(np.bincount(every, minlength=len(some)))
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
 class Words:
@@ -188,14 +196,18 @@ class Gru:
         return g, d_x
 
 
-def features(net: Network, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features of distinct words, with the buckets they come from."""
-    how = net.how
-    hashed = _hashed_words(words, how.buckets)
-    grams, owner = _hashed_grams(words, how)
-    n = np.maximum(np.bincount(owner, minlength=len(words)), 1)
-    mean = np.stack([np.bincount(owner, net.grams[grams, j], len(words)) for j in range(how.dim)], axis=1) / n[:, None]
-    return np.concatenate([net.words[hashed], mean], axis=1).astype(np.float32), hashed, grams, owner
+def features(net: Network, words: list[str], hashed=None, grams=None, bounds=None) -> tuple:
+    """Features of distinct words, with the buckets they come from; known buckets may be given."""
+    if grams is None:
+        hashed = _hashed_words(words, net.how.buckets)
+        grams, bounds = _hashed_grams(words, net.how)
+    x = np.empty((len(words), 2 * net.how.dim), np.float32)
+    x[:, :net.how.dim] = net.words[hashed]
+    for lo in range(0, len(words), PART):
+        hi = min(lo + PART, len(words))
+        sums = np.add.reduceat(net.grams[grams[bounds[lo]:bounds[hi]]], bounds[lo:hi] - bounds[lo], axis=0)
+        x[lo:hi, net.how.dim:] = sums / np.diff(bounds[lo:hi + 1])[:, None]
+    return x, hashed, grams, bounds
 
 
 def _projected(p: dict, x: np.ndarray) -> dict:
@@ -246,25 +258,24 @@ def train(rows: list[tuple[str, int]], base_rate: float, how: Training = Trainin
     net = Network(how, *(rng.normal(0, 0.05, (how.buckets, how.dim)).astype(np.float32) for _ in range(2)))
     laid = Words([rows[i][0] for i in fit], how)
     label = y[fit]
-    _, hashed, grams, owner = features(net, laid.words)
-    starts = np.argsort(owner, kind="stable")
-    bounds = np.searchsorted(owner[starts], np.arange(len(laid.words) + 1))
+    known = features(net, laid.words)[1:]
+    hashed, grams, bounds = known
     edges = np.searchsorted(laid.owner, np.arange(len(fit) + 1))
     used = (np.unique(laid.windows[a:b][laid.mask[a:b]]) for a, b in zip(edges, edges[1:]))
     net.words[:, 0] = _log_odds((hashed[w] for w in used), label, how.buckets)
     used = (np.unique(laid.windows[a:b][laid.mask[a:b]]) for a, b in zip(edges, edges[1:]))
-    net.grams[:, 0] = _log_odds((grams[np.concatenate([starts[bounds[i]:bounds[i + 1]] for i in w])] for w in used), label, how.buckets)
+    net.grams[:, 0] = _log_odds((np.concatenate([grams[bounds[i]:bounds[i + 1]] for i in w]) for w in used), label, how.buckets)
     gru = Gru(how)
     net.p = gru.start(rng)
-    x = features(net, laid.words)[0]
+    x = features(net, laid.words, *known)[0]
     guess = x[:, 0] + 2 * x[:, how.dim]
     scores = np.where(laid.mask, guess[laid.windows], -9).max(axis=1)
-    size = np.maximum(np.bincount(owner, minlength=len(laid.words)), 1)
+    size = np.diff(bounds)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     for k in range(how.rounds):
         if k:
-            x = features(net, laid.words)[0]
+            x = features(net, laid.words, *known)[0]
             projected = _projected(net.p, x)
             scores = np.concatenate([gru.run(net.p, projected, laid.windows[i:i + 4096], laid.mask[i:i + 4096])
                                      for i in range(0, len(laid.windows), 4096)])
@@ -290,10 +301,9 @@ def train(rows: list[tuple[str, int]], base_rate: float, how: Training = Trainin
                 total = np.zeros_like(x)
                 np.add.at(total, w[m], d_x[m])
                 np.add.at(net.words, hashed[used], -total[:, :how.dim])
-                spans = [starts[bounds[i]:bounds[i + 1]] for i in used]
-                picked = np.concatenate(spans)
+                spans = [grams[bounds[i]:bounds[i + 1]] for i in used]
                 back = np.repeat(total[:, how.dim:] / size[used][:, None], [len(s) for s in spans], axis=0)
-                np.add.at(net.grams, grams[picked], -back)
+                np.add.at(net.grams, np.concatenate(spans), -back)
     best = text_logits(net, [rows[i][0] for i in held])[0]
     net.shift = _best_cut(best, y[held], base_rate)
     return net
