@@ -16,7 +16,7 @@ def network_edges(edges: DataFrame) -> DataFrame:
     elif {"source", "target", "weight"} <= have:
         ends = ("source", "target")
     else:
-        raise ValueError("Edges need source/target/weight or author/parent_author/weight columns.")
+        raise ValueError(f"not an edge list: found columns {sorted(have)}")
     number = F.col("weight").cast("string").try_cast("double")
     named = edges.select(
         F.col(ends[0]).cast("string").alias("source"), F.col(ends[1]).cast("string").alias("target"),

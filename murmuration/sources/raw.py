@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +91,7 @@ def _read_kind(spark: SparkSession, raw_dir: str, kind: str, schema: T.StructTyp
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
             return None
         raise
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:  # the reader's own error arrives unwrapped
         if "CANNOT_MERGE_SCHEMA" not in str(error):
             raise
         part = _by_types(spark, glob)

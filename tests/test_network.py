@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from itertools import combinations
 
 import pytest
 
@@ -10,43 +12,55 @@ def pairs(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
-def test_reply_edges(activity):
-    rows = activity(
-        {"id": "c_parent", "author": "bob"}, {"id": "c1", "parent_id": "t1_c_parent"},
-        {"id": "c2", "parent_id": "t1_c_parent"}, {"id": "c_self", "author": "bob", "parent_id": "t1_c_parent"},
-        {"id": "c_post", "parent_id": "t3_post"}, {"id": "c_missing", "parent_id": "t1_missing"},
-        {"id": "p1", "author": "carol", "kind": "post", "parent_id": "t1_c_parent"},
-    )
-    assert pairs(edges.reply_edges(rows), "author", "parent_author", "weight") == [("alice", "bob", 2)]
-
-
-def test_reply_edges_empty(activity):
-    out = edges.reply_edges(activity({"kind": "post"}))
-    assert out.columns == ["author", "parent_author", "weight"] and out.count() == 0
-
-
-def test_repeated_id_belongs_to_last_author(activity):
-    rows = activity({"id": "x", "author": "bob"}, {"id": "x", "author": "zoe"}, {"id": "r", "parent_id": "x"})
-    assert pairs(edges.reply_edges(rows), "parent_author") == [("zoe",)]
-
-
-def test_shared_threads(activity):
-    small = [("1", "zara", "one"), ("2", "amy", "one"), ("3", "amy", "two"), ("4", "zara", "two"),
-             ("5", "amy", "solo"), ("6", "[deleted]", "solo"), ("7", "amy", None)]
-    rows = [{"id": i, "author": a, "link_id": t} for i, a, t in small]
-    rows += [{"id": f"h{i}", "author": f"user{i:02d}", "link_id": "huge"} for i in range(81)]
-    rows += [{"id": f"k{i}", "author": f"keep{i:02d}", "link_id": "cap"} for i in range(80)]
-    got = {(r["source"], r["target"]): r["weight"] for r in edges.shared_thread_edges(activity(*rows)).collect()}
-    assert got[("amy", "zara")] == 2 and ("zara", "amy") not in got
-    assert not any("user00" in pair for pair in got)
-    assert sum(a.startswith("keep") and b.startswith("keep") for a, b in got) == 80 * 79 // 2
-    empty = edges.shared_thread_edges(activity({"link_id": "solo"}))
-    assert empty.columns == ["source", "target", "weight"] and empty.count() == 0
-
-
-def test_temporal_edges_match_direct_comparison(activity, at):
+def test_reply_edges_match_direct_lookup(activity):
+    rng = random.Random(7)
+    names = ["ida", "jon", "kit", "lev"]
+    rows = [(f"m{i}", rng.choice(names), rng.choice(["post", "comment", "comment"]),
+             rng.choice([None, "t3_m1", "t1_gone"] + [f"t1_m{rng.randrange(60)}", f"m{rng.randrange(60)}"] * 3)) for i in range(60)]
+    rows += [("m7", "zed", "comment", "t1_m8")]
+    owner = {}
+    for i, a, _, _ in rows:
+        owner[i] = max(a, owner.get(i, a))
+    want = Counter()
+    for _, a, kind, parent in rows:
+        target = owner.get(parent.removeprefix("t1_")) if parent else None
+        if kind == "comment" and target is not None and target != a:
+            want[(a, target)] += 1
+    frame = activity(*[{"id": i, "author": a, "kind": k, "parent_id": p} for i, a, k, p in rows])
+    assert {(r["author"], r["parent_author"]): r["weight"] for r in edges.reply_edges(frame).collect()} == want
+    nothing = edges.reply_edges(frame.where("kind = 'post'"))
+    assert nothing.columns == ["author", "parent_author", "weight"] and nothing.count() == 0
+
+
+def threads(seed, sizes):
+    rng = random.Random(seed)
+    members = [(f"w{rng.randrange(500):03d}", f"t3_{k}") for k, n in enumerate(sizes) for _ in range(n)]
+    return members + [("[deleted]", "t3_0"), ("w000", None)]
+
+
+@pytest.mark.parametrize("limit", [80, 5, None])
+def test_shared_threads_match_direct_pairs(activity, monkeypatch, limit):
+    monkeypatch.setattr(edges, "BLOCK", 7)
+    rows = threads(1, [1, 2, 3, 6, 20, 40, 140])
+    at_cap = [(f"cap{i:02d}", "t3_cap") for i in range(80)] + [(f"over{i:02d}", "t3_over") for i in range(81)]
+    rows += at_cap
+    groups = {}
+    for a, t in rows:
+        if t is not None and a != "[deleted]":
+            groups.setdefault(t, set()).add(a)
+    want = Counter(p for g in groups.values() if limit is None or len(g) <= limit for p in combinations(sorted(g), 2))
+    frame = activity(*[{"author": a, "link_id": t} for a, t in rows])
+    assert {(r["source"], r["target"]): r["weight"] for r in edges.shared_thread_edges(frame, limit).collect()} == want
+    skipped = {r["link_id"]: r["authors"] for r in edges.skipped_threads(frame, limit).collect()}
+    assert skipped == {t: len(g) for t, g in groups.items() if limit is not None and len(g) > limit}
+
+
+def test_temporal_edges_match_direct_comparison(activity, at, monkeypatch):
+    monkeypatch.setattr(edges, "BLOCK", 6)
     chance = random.Random(11)
-    rows = [(f"u{chance.randint(0, 6)}", f"t{chance.randint(0, 3)}", chance.randint(0, 9000)) for _ in range(60)]
+    # More than 80 authors in one thread, many of them within one window.
+    rows = [(f"v{i:03d}", "crowd", chance.choice([0, 300, 899, 900, 1500, 5000])) for i in range(120)]
+    rows += [(f"u{chance.randint(0, 6)}", f"t{chance.randint(0, 3)}", chance.randint(0, 9000)) for _ in range(60)]
     rows += [("x", "edge", 0), ("y", "edge", 900), ("x", "far", 0), ("y", "far", 901)]
     frame = activity(*[{"author": a, "link_id": t, "created_dt": at(s)} for a, t, s in rows])
     met = {(min(a, b), max(a, b), t) for a, t, s in rows for b, t2, s2 in rows if a != b and t == t2 and abs(s - s2) <= 900}
@@ -61,41 +75,60 @@ def edge_frame(spark, *rows):
     return spark.createDataFrame(rows, "author string, parent_author string, weight long")
 
 
-def test_weight_cut_and_selection(spark):
-    frame = edge_frame(spark, ("alice", "bob", 4), ("alice", "cara", 3), ("bob", "cara", 5), ("dave", "erin", 1))
-    cut = graph.heavy_edges(graph.network_edges(frame))
-    assert pairs(cut, "source", "target", "weight") == [("alice", "bob", 4.0), ("alice", "cara", 3.0), ("bob", "cara", 5.0)]
-    assert pairs(graph.select_graph(frame, 2, 2), "source", "target") == [("alice", "bob")]
-    assert graph.select_graph(frame, 2, 0).count() == 0
-
-
-def test_network_edges_clean(spark):
-    frame = spark.createDataFrame([("a", "b", "2"), ("a", "b", "x"), ("a", "b", "1.5"), ("a", "a", "9"), ("", "b", "9")],
+def random_edges(seed, n):
+    rng = random.Random(seed)
+    return [(f"k{rng.randrange(12):02d}", f"k{rng.randrange(12):02d}", rng.randrange(1, 5)) for _ in range(n)]
+
+
+def test_graph_matches_direct_sums(spark):
+    rows = random_edges(4, 80)
+    total = Counter()
+    for a, b, w in rows:
+        if a != b:
+            total[(a, b)] += w
+    frame = graph.network_edges(edge_frame(spark, *rows))
+    assert {(r["source"], r["target"]): r["weight"] for r in frame.collect()} == total
+    heavy = {k: w for k, w in total.items() if w >= 4}
+    assert {(r["source"], r["target"]): r["weight"] for r in graph.heavy_edges(frame, 4).collect()} == heavy
+    ends = Counter(x for pair in heavy for x in pair)
+    top = sorted(ends, key=lambda x: (-ends[x], x))[:5]
+    chosen = graph.select_graph(edge_frame(spark, *rows), 4, 5)
+    assert {(r["source"], r["target"]) for r in chosen.collect()} == {(a, b) for a, b in heavy if a in top and b in top}
+    assert graph.select_graph(edge_frame(spark, *rows), 4, 0).count() == 0
+    nodes, inside = graph.top_degree_subgraph(graph.heavy_edges(frame, 4), 5)
+    assert sorted(r["account"] for r in nodes.collect()) == sorted(top) and inside.count() == chosen.count()
+
+
+def test_network_edges_refuse_unknown_columns_and_bad_weights(spark):
+    frame = spark.createDataFrame([("k1", "k2", "0.5"), ("k1", "k2", "many"), ("k1", "k2", "3"), ("k2", "k2", "1"), (None, "k2", "1")],
                                   "source string, target string, weight string")
-    assert pairs(graph.network_edges(frame), "source", "target", "weight") == [("a", "b", 3.5)]
+    assert pairs(graph.network_edges(frame), "source", "target", "weight") == [("k1", "k2", 3.5)]
     with pytest.raises(ValueError):
         graph.network_edges(frame.drop("weight"))
 
 
-def test_top_degree_keeps_isolated_nodes(spark):
-    frame = graph.network_edges(edge_frame(spark, ("hub", "a", 1), ("hub", "b", 1), ("hub", "c", 1), ("a", "b", 1)))
-    nodes, inside = graph.top_degree_subgraph(frame, 1)
-    assert pairs(nodes, "account") == [("hub",)] and inside.count() == 0
-
-
-def test_nodes_links_and_ego(spark):
-    frame = graph.network_edges(edge_frame(spark, ("<al>", "bob", 3), ("bob", "cara", 2), ("bob", "<al>", 3)))
-    feat = spark.createDataFrame([("<al>", True, 8, 0.8), ("bob", False, 2, 0.6)],
-                                 "author string, new_account_7d boolean, activity_count long, coordination_score double")
-    nodes = {r["id"]: r for r in graph.network_nodes(frame, feat).collect()}
-    assert {k: (r["degree"], r["r"], r["color"]) for k, r in nodes.items()} == {
-        "<al>": (2, 8, "#d85a30"), "bob": (3, 9, "#e0a106"), "cara": (1, 7, "#3d6f8f")}
-    assert nodes["<al>"]["tip"] == "<al>\nconnections: 2\nactivity: 8\nsignal score: 0.800\nnew ≤7d: True"
-    assert nodes["cara"]["tip"] == "cara\nconnections: 1"
-    assert graph.network_nodes(frame).count() == 3
-    assert pairs(graph.network_links(frame), "s", "t", "w") == [(0, 1, 3.0), (0, 2, 2.0), (1, 0, 3.0)]
-    ego = graph.ego_neighbors(frame, 2).where("account = 'bob'").orderBy("rank").collect()
-    assert [(r["other"], r["direction"]) for r in ego] == [("<al>", "replied to"), ("<al>", "replied from")]
+def test_nodes_links_and_ego_match_direct_view(spark):
+    rows = random_edges(9, 30)
+    frame = graph.network_edges(edge_frame(spark, *rows))
+    links = {(r["source"], r["target"]): r["weight"] for r in frame.collect()}
+    degree = Counter(x for pair in links for x in pair)
+    feat = {n: (i % 2 == 0, 10 + i, i / 10) for i, n in enumerate(sorted(degree))}
+    table = spark.createDataFrame([(n, *f) for n, f in feat.items()][1:], "author string, new_account_7d boolean, activity_count long, coordination_score double")
+    nodes = {r["id"]: r for r in graph.network_nodes(frame, table).collect()}
+    unknown = sorted(degree)[0]
+    for n, d in degree.items():
+        young, count, score = feat[n] if n != unknown else (False, None, 0)
+        color = "#d85a30" if young else "#e0a106" if score >= 0.5 else "#3d6f8f"
+        assert (nodes[n]["degree"], nodes[n]["r"], nodes[n]["color"]) == (d, min(22, 6 + d), color)
+        lines = nodes[n]["tip"].split("\n")
+        assert lines[0] == n and str(d) in lines[1] and len(lines) == (2 if n == unknown else 5)
+    place = {n: i for i, n in enumerate(sorted(degree, key=lambda x: (-degree[x], x)))}
+    assert pairs(graph.network_links(frame), "s", "t", "w") == sorted((place[a], place[b], w) for (a, b), w in links.items())
+    ends = [(a, b, 0, w) for (a, b), w in links.items()] + [(b, a, 1, w) for (a, b), w in links.items()]
+    got = {}
+    for r in graph.ego_neighbors(frame, 3).orderBy("account", "rank").collect():
+        got.setdefault(r["account"], []).append((r["other"], r["direction"].split()[-1], r["weight"]))
+    assert got == {n: [(o, ("to", "from")[back], w) for _, o, back, w in sorted((e for e in ends if e[0] == n), key=lambda e: (-e[3], e[1], e[2]))[:3]] for n in degree}
 
 
 def test_components_match_direct_search(spark):
@@ -119,10 +152,13 @@ def test_components_match_direct_search(spark):
     assert got == {**{n: find(n) for n in root}, "solo": "solo"}
 
 
-def test_communities(spark):
-    rows = [("a", "b", 5), ("b", "c", 5), ("a", "c", 5), ("x", "y", 5), ("y", "z", 5), ("x", "z", 5), ("c", "x", 1)]
-    got = {r["account"]: r["community"] for r in C.communities(spark.createDataFrame(rows, "source string, target string, weight long"), 5).collect()}
-    assert got["a"] == got["b"] == got["c"] != got["x"] == got["y"] == got["z"]
+@pytest.mark.parametrize("rounds", [5, None])
+def test_communities_follow_the_heavy_links(spark, rounds):
+    groups = [["d1", "d2", "d3", "d4"], ["e1", "e2", "e3"], ["f1", "f2", "f3", "f4", "f5"]]
+    rows = [(a, b, 9) for g in groups for a, b in combinations(g, 2)] + [("d4", "e1", 1), ("e3", "f1", 1)]
+    frame = spark.createDataFrame(rows, "source string, target string, weight long")
+    got = {r["account"]: r["community"] for r in C.communities(frame, rounds).collect()}
+    assert [len({got[n] for n in g}) for g in groups] == [1, 1, 1] and len(set(got.values())) == 3
 
 
 def test_similar_text_edges(spark):

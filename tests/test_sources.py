@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from murmuration import schemas
 from murmuration.schemas import ACCOUNT_FEATURES
 from murmuration.sources import landing as L
 from murmuration.sources import publish
@@ -147,3 +148,34 @@ def test_stream_ingest_and_daily(spark, tmp_path):
     S.run_available(S.stream_daily(once), str(tmp_path / "d"), str(tmp_path / "ds")).awaitTermination(120)
     days = {str(r["day"]): r["rows"] for r in spark.read.parquet(str(tmp_path / "d")).collect()}
     assert days == {"2024-01-01": 2, "2024-01-03": 1}
+
+
+def test_one_column_in_several_types(spark, tmp_path):
+    raw = str(tmp_path / "mixed")
+    for name, kind, value in (("a", "bigint", "1711929601"), ("b", "double", "1711929602.5D"), ("c", "string", "'1711929603'"), ("d", "string", "'soon'")):
+        spark.sql(f"SELECT '{name}' AS id, 'kim' AS author, CAST({value} AS {kind}) AS created_utc, 'locks' AS subreddit, 'x' AS body, 1 AS score").write.parquet(
+            f"{raw}/{name}_comments.parquet")
+    spark.sql("SELECT 'p' AS id, 'kim' AS author, 1711929604 AS created_utc, 't' AS title").write.parquet(f"{raw}/a_posts.parquet")
+    want = {"a": 1711929601000000, "b": 1711929602500000, "c": 1711929603000000, "d": None, "p": 1711929604000000}
+    for declared in (None, {"posts": schemas.RAW_POSTS, "comments": schemas.RAW_COMMENTS}):
+        rows = R.load_raw(spark, raw, declared)
+        assert {r["id"]: r["us"] for r in rows.select("id", F.unix_micros("created_dt").alias("us")).collect()} == want
+        assert {r["id"]: r["kind"] for r in rows.collect()}["p"] == "post"
+
+
+def test_pages_land_once_and_resume(spark, tmp_path):
+    def page(kind, number, seconds):
+        rows = [{"id": f"{kind[0]}{s}", "author": "kim", "created_utc": s, "subreddit": "locks", "body": "b", "title": "t"} for s in seconds]
+        return (kind, "locks", number, json.dumps({"data": rows}))
+
+    raw = str(tmp_path / "raw")
+    pages = spark.createDataFrame(
+        [page("comment", 1, [10, 20, 30]), page("comment", 2, [30, 40, 50]), page("comment", 3, [60]), page("comment", 4, [70, 80, 90]),
+         page("post", 1, [15, 25, 35])], "kind string, subreddit string, page long, payload string")
+    cursor = L.land_pages(pages, raw, 3, 500, batch="one")
+    assert {r["kind"]: r["next_after"] for r in cursor.collect()} == {"comment": "61", "post": "36"}
+    assert sorted(r["id"] for r in R.load_raw(spark, raw).collect()) == sorted(["c10", "c20", "c30", "c40", "c50", "c60", "p15", "p25", "p35"])
+    later = spark.createDataFrame([page("comment", 1, [50, 60, 61]), page("comment", 2, [99])], pages.schema)
+    cursor = L.land_pages(later, raw, 3, 500, cursor, batch="two")
+    assert {r["kind"]: r["next_after"] for r in cursor.collect()} == {"comment": "100", "post": "36"}
+    assert sorted(r["id"] for r in R.load_raw(spark, raw).where("kind = 'comment'").collect()) == ["c10", "c20", "c30", "c40", "c50", "c60", "c61", "c99"]
