@@ -2,7 +2,8 @@
 
 Shuffle plan: rows are pre-aggregated per (author, subreddit) and per (author, thread) before
 anything is grouped by author, so an account holding a third of all rows arrives as a handful
-of partial rows. Gaps between rows are taken inside (author, hour) buckets for the same reason.
+of partial rows. Gaps between rows are taken second by second, hour by hour and then per account
+for the same reason.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from murmuration.functions.text import topic_hit
 
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
+SECOND_US = 1_000_000
 MINUTE_US = 60_000_000
 
 
@@ -26,41 +28,51 @@ def topic_columns(settings: Settings) -> dict[str, Column]:
     return {f"topic_{t}_rate": topic_hit(F.col("text"), words) for t, words in settings.topics.items()}
 
 
+def _gaps(valid: DataFrame) -> DataFrame:
+    """(author, gap, n): gaps between an author's rows in microseconds, equal ones counted.
+
+    Rows of one moment are counted first and give gaps of zero. Distinct moments are then looked
+    at second by second; a second passes on its first and last moment to its hour, and an hour to
+    the author. No group holds more than a second's moments, an hour's seconds or an account's
+    hours, wherever a busy account puts its rows.
+    """
+    moments = valid.where(F.col("created_dt").isNotNull()).groupBy("author", _us("created_dt").alias("first")).agg(
+        F.count(F.lit(1)).alias("n"))
+    found = moments.where("n > 1").select("author", F.lit(0).cast("long").alias("gap"), (F.col("n") - 1).alias("n"))
+    level = moments.select("author", "first", F.col("first").alias("last"))
+    for width in (SECOND_US, HOUR_US, None):
+        bucket = [] if width is None else [F.floor(F.col("first") / width)]
+        placed = level.withColumn("bucket", bucket[0] if bucket else F.lit(0))
+        order = Window.partitionBy("author", "bucket").orderBy("first")
+        gaps = placed.withColumn("gap", F.col("first") - F.lag("last").over(order)).where("gap is not null")
+        found = found.unionByName(gaps.select("author", "gap", F.lit(1).cast("long").alias("n")))
+        level = placed.groupBy("author", "bucket").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("bucket")
+    return found.groupBy("author", "gap").agg(F.sum("n").alias("n"))
+
+
 def median_gaps(valid: DataFrame) -> DataFrame:
     """(author, median_interarrival_min): exact median of the gaps between an author's rows.
 
-    1. Gaps inside an (author, hour) bucket come from ``lag``; the first row of a bucket takes
-       its gap from the last row of the author's previous bucket. No task sees a whole author.
-    2. Equal gaps of an author are counted together. Distinct gaps are different positive
-       microsecond counts that sum to at most the observed span S, so there are at most
-       sqrt(2 S) of them (25 million for ten years) however many rows the author has.
-    3. The middle one or two gaps are read off the running count.
+    Gaps are binned by size, at most a thousand bins for an account; the bins that hold the middle
+    one or two gaps are found from the bins' counts, and only their gaps are put in order.
     """
-    stamps = valid.where(F.col("created_dt").isNotNull()).select("author", _us("created_dt").alias("us"))
-    in_hour = Window.partitionBy("author", "hour").orderBy("us")
-    seen = stamps.withColumn("hour", F.floor(F.col("us") / HOUR_US)).withColumns({
-        "prev": F.lag("us").over(in_hour),
-        "next": F.lead("us").over(in_hour),
-    })
-    inside = seen.where("prev is not null").select("author", (F.col("us") - F.col("prev")).alias("gap"))
-    by_author = Window.partitionBy("author").orderBy("us", F.col("prev").isNull().cast("int").desc())
-    ends = seen.where("prev is null or next is null").withColumn("before", F.lag("us").over(by_author))
-    across = ends.where("prev is null and before is not null").select(
-        "author", (F.col("us") - F.col("before")).alias("gap")
-    )
-    counted = inside.unionByName(across).groupBy("author", "gap").agg(F.count(F.lit(1)).alias("n"))
-    ordered = Window.partitionBy("author").orderBy("gap")
+    counted = _gaps(valid).withColumn("bin", F.floor(F.log2(F.col("gap") + 1) * 16))
+    bins = counted.groupBy("author", "bin").agg(F.sum("n").alias("held"))
     whole = Window.partitionBy("author")
-    running = counted.withColumns({"upto": F.sum("n").over(ordered), "total": F.sum("n").over(whole)})
+    placed = bins.withColumns({
+        "upto": F.sum("held").over(whole.orderBy("bin")), "total": F.sum("held").over(whole)})
     low, high = F.expr("(total - 1) div 2"), F.expr("total div 2")
 
-    def holds(position: Column) -> Column:
-        return (F.col("upto") > position) & (F.col("upto") - F.col("n") <= position)
+    def holds(position: Column, upto: str, n: str) -> Column:
+        return (F.col(upto) > position) & (F.col(upto) - F.col(n) <= position)
 
-    middle = running.where(holds(low) | holds(high)).groupBy("author").agg(
-        F.min("gap").alias("lower"), F.max("gap").alias("upper")
-    )
-    return middle.select(
+    middle = placed.where(holds(low, "upto", "held") | holds(high, "upto", "held")).select(
+        "author", "bin", "total", (F.col("upto") - F.col("held")).alias("before"))
+    inside = counted.join(middle, ["author", "bin"]).withColumn(
+        "upto", F.col("before") + F.sum("n").over(Window.partitionBy("author", "bin").orderBy("gap")))
+    chosen = inside.where(holds(low, "upto", "n") | holds(high, "upto", "n")).groupBy("author").agg(
+        F.min("gap").alias("lower"), F.max("gap").alias("upper"))
+    return chosen.select(
         "author", ((F.col("lower") + F.col("upper")) / 2 / MINUTE_US).alias("median_interarrival_min")
     )
 
