@@ -10,7 +10,7 @@ down the trie. The overlap of a path is computed once for all members behind it,
 left as soon as the shingles that remain cannot reach the needed overlap.
 
 Pairs are only formed for shingles of a few classes. In the group of a common shingle all members
-are compared with one leader first, and what is found linked is merged; a second pass then takes
+are compared with a leader first, in turns, and what is found linked is merged; a second pass takes
 the pairs that are still in different components. So every link between different components is
 found, while a group of thousands of near copies never meets pair by pair. A pair must share a
 number of its first shingles that follows from both sizes, which is counted before sets travel.
@@ -41,6 +41,8 @@ CHUNK = 1 << 20
 BLOCK = 128
 # A shingle of at most so many classes makes all their pairs; beyond, leaders come first.
 CROWD = 16
+# Turns of the first pass, and leaders a member meets in each.
+TURNS, LEADERS = 2, 2
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -355,6 +357,22 @@ def _common(a: str, b: str, percent: int) -> Column:
     return overlap - F.ceil(F.greatest(a, b) * percent / 100) + 1
 
 
+def _stars(crowded: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(leader, member): in groups of several components, members with leaders of other components.
+
+    A group's leader is drawn anew each turn; a member meets the LEADERS it shares most groups
+    with. Pairs left out here come in the second pass.
+    """
+    home = Window.partitionBy("token")
+    named = crowded.join(labels, F.col("cls") == F.col("account"), "left").withColumn("label", F.coalesce("component", "cls"))
+    chief = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("draw"), "cls", "size", "label")).over(home)
+    met = named.withColumn("chief", chief).where(F.col("label") != F.col("chief.label")).select(
+        F.col("chief.cls").alias("leader"), F.col("cls").alias("member"), "size", F.col("chief.size").alias("leader_size"))
+    counted = met.where(_sizes_allow("size", "leader_size", percent)).groupBy("leader", "member").agg(F.count(F.lit(1)).alias("common"))
+    best = Window.partitionBy("member").orderBy(F.desc("common"), "leader")
+    return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS).select("leader", "member")
+
+
 def _number(doc_id: Column) -> Column:
     """A number standing for a doc_id in the filter."""
     return F.xxhash64(doc_id)
@@ -396,14 +414,14 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
     counted = counted.groupBy("cls", "other_cls").agg(
         F.count(F.lit(1)).alias("common"), *[F.first(c).alias(c) for c in ("size", "other_size", "late", "other_late")])
     close = counted.where(F.col("common") + F.least("late", "other_late") >= _common("size", "other_size", percent))
-    stars = crowded.withColumn("leader", F.min(F.struct("cls", "size")).over(home)).where(
-        F.col("cls") > F.col("leader.cls")).select("cls", "size", F.col("leader.cls").alias("leader"), F.col("leader.size").alias("leader_size"))
-    stars = stars.where(_sizes_allow("size", "leader_size", percent))
-    first = write_stage(
-        close.select(F.col("cls").alias("leader"), F.col("other_cls").alias("member")).unionByName(
-            stars.select("leader", F.col("cls").alias("member"))).distinct(), "pairs")
-    links = write_stage(_verify(first, sets_of(first), percent), "links")
-    labels = write_stage(connected_components(links), "labels")
+    few_pairs = close.select(F.col("cls").alias("leader"), F.col("other_cls").alias("member"))
+    links, labels = None, crowded.select(F.col("cls").alias("account"), F.col("cls").alias("component")).limit(0)
+    for turn in range(TURNS):
+        stars = _stars(crowded, labels, turn, percent)
+        pairs = write_stage(stars if turn else stars.unionByName(few_pairs).distinct(), "pairs")
+        found = _verify(pairs, sets_of(pairs), percent)
+        links = write_stage(found if links is None else links.unionByName(found), "links")
+        labels = write_stage(connected_components(links), "labels")
 
     # What is still apart in the shingles of many classes.
     named = crowded.join(labels, F.col("cls") == F.col("account"), "left").select(
