@@ -1,9 +1,10 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each is normalised and looked up among known licence sentences. The
-identifiers found, in the order of the text, are matched against ordered licence rules; a rule
-matches where its identifiers follow one another. All of it is one projection: no shuffle, no
-Python, and a long text costs its own row only.
+A text is cut into sentences, which are normalised and looked up among known licence sentences. A
+line end may end a sentence (one-line notices and titles) or wrap it, so a known sentence may run
+over any number of lines. The identifiers found, in the order of the text, are matched against
+ordered licence rules; a rule matches where its identifiers follow one another. All of it is one
+projection: no shuffle, no Python, and a long text costs its own row only.
 """
 
 from __future__ import annotations
@@ -54,10 +55,18 @@ RULES = (
     ("proprietary", ("reserved",)),
 )
 
-# A sentence ends at a line end or after . ; : ! ? followed by white space or the end.
+# The SQL counterpart knows sentences of one line only: it ends one at a line end or after . ; : ! ?
+# followed by white space or the end.
 BREAK = r"[\n\r]+|[.;:!?]+(?:[\x20\x09-\x0D]+|$)"
 JUNK = r"[^a-z0-9]+"
 
+# Line ends with the blanks and comment marks around them, in lower-cased text.
+_MARKS = r"\x20\x09\x0B\x0C/*#;%!|<>=~-"
+LINE_END = rf"(?:(?<![{_MARKS}])[\x20\x09][{_MARKS}]*)?\n[^a-z0-9\n]*"
+# A web address set apart by blank lines goes on with the sentence before it.
+SET_APART = r"\n\n+(?=https?://)"
+STOP = r"[.;:!?](?=[\x20\x09-\x0D]|$)"
+
 
 def normalised(sentence: str) -> str:
     """The form sentences are compared in: lower-case a-z and digits, single spaces."""
@@ -71,16 +80,25 @@ def known_sentences(sentences=None) -> dict[str, str]:
     return {normalised(text): name for name, texts in listed.items() for text in texts}
 
 
+def _marked(text: Column) -> Column:
+    """The normalised text between marks: H where a sentence ends, S at a line end that may end or wrap one.
+
+    The text is lower case, so capitals are free. A blank line, or one of marks only, ends a sentence.
+    """
+    steps = ((r"\r\n?", "\n"), (LINE_END, "\n"), (SET_APART, "\n"), (STOP, " H "), (r"\n\n+", " H "), (r"\n", " S "))
+    out = F.lower(text)
+    for pattern, by in steps:
+        out = F.regexp_replace(out, pattern, by)
+    return F.regexp_replace(F.concat(F.lit("H "), out, F.lit(" H")), "[^a-z0-9HS]+", " ")
+
+
 def sentence_ids(text: Column, sentences=None) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """Identifiers of the known sentences of a text, in order; of several from one place the longest."""
     known = known_sentences(sentences)
-    longest = max(len(k) for k in known) * 2
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    # Only pieces short enough to be a known sentence, however spaced, are worth normalising.
-    pieces = F.filter(F.split(text, BREAK), lambda s: (F.length(s) >= 3) & (F.length(s) <= longest))
-    clean = F.transform(pieces, lambda s: F.trim(F.regexp_replace(F.lower(s), JUNK, " ")))
-    wanted = F.filter(clean, lambda s: s.isin(list(known)))
-    return F.transform(wanted, lambda s: F.element_at(table, s))
+    wrapped = "|".join(k.replace(" ", "(?: S)? ") for k in sorted(known, key=len, reverse=True))
+    found = F.regexp_extract_all(_marked(text), F.lit(f"(?<=[HS] )(?:{wrapped})(?= [HS])"), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(table, F.regexp_replace(s, " S ", " ")))
 
 
 def matched_rules(ids: Column, rules=RULES) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 from murmuration.llm import licences, quality, secrets
@@ -59,6 +60,42 @@ def test_licence_rules(docs, clashing):
     assert licences.scan(clashing).count() == 10 and licences.scan(docs([])).count() == 0
 
 
+def test_wrapped_licence_texts(docs):
+    mit = [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+        "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
+        "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software "
+        "is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
+        "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."]
+    bsd = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+           "conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and "
+           "the following disclaimer."]
+    gpl = ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+           "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."]
+    apache = ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
+              "License. You may obtain a copy of the License at", "    http://www.apache.org/licenses/LICENSE-2.0", "Unless required by law"]
+    whole = {"m": ("mit-grant,mit-keep,as-is", "MIT"), "b": ("bsd-redistribute,bsd-source", "BSD"), "g": ("gpl-free,gpl-any", "GPL-3.0-or-later"),
+             "a": ("apache-notice,apache-comply,apache-copy", "Apache-2.0")}
+    texts = {}
+    for name, parts in (("m", mit), ("b", bsd), ("g", gpl), ("a", apache)):
+        for width in (30, 72, 79):
+            lines = "\n\n".join(textwrap.fill(p, width, subsequent_indent="   " if p[0] == "1" else "", break_long_words=False) for p in parts).split("\n")
+            texts |= {(name, width, i): t for i, t in enumerate((
+                "\n".join(lines), "Copyright (c) 2020 A\r\n" + "\r\n".join(lines) + "\r\n", "\n".join(f"# {x}" for x in lines),
+                "/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */", "\n".join(f";; {x}" for x in lines),
+                "\n".join(f"# {x:<79} #" for x in lines)))}
+    named = dict(enumerate(texts))
+    got = licences.digest(docs([(i, texts[k], "en", "a", 1) for i, k in named.items()])).collect()
+    assert {named[r["doc_id"]]: (r["sentences"], r["licences"]) for r in got} == {k: whole[k[0]] for k in texts}
+    # A line may be a sentence of its own, a blank line ends one, and white space is of any length.
+    rows = {1: "MIT License\nCopyright (c) 2020 A\nAll rights reserved\nLicensed under\nCC BY 4.0\nInternational text", 2: "all rights\n\nreserved",
+            3: "we keep all rights\nreserved", 4: "All" + " " * 2000 + "rights reserved.", 5: "all rights\n---\nreserved", 6: "The MIT\nLicense (MIT)"}
+    got = {r["doc_id"]: r["sentences"] for r in licences.digest(docs([(k, t, "en", "a", 1) for k, t in rows.items()])).collect()}
+    assert got == {1: "mit-notice,reserved,cc-by-notice", 2: "", 3: "", 4: "reserved", 5: "", 6: "mit-notice"}
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
