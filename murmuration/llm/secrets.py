@@ -23,10 +23,10 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 
-# Weak parts: (kind, role, pattern).
+# Weak parts: (kind, role, pattern). A span covers the whole value, however long.
 WEAK = (
-    ("weak_pass", "secret", r"""(?i:password|passwd|pwd|pass)["']?\x20*[:=]\x20*["']?[^\x20\x09-\x0D"']{4,64}"""),
-    ("weak_key", "secret", r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=])"),
+    ("weak_pass", "secret", r"""(?i:password|passwd|pwd|pass)["']?\x20*[:=]\x20*["']?[^\x20\x09-\x0D"']{4,}"""),
+    ("weak_key", "secret", r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])"),
 )
 COMPLEMENTS = (
     ("identifier", r"AKIA[A-Z0-9]{12,}|(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{3,}"),
