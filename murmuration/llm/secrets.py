@@ -3,8 +3,8 @@
 Single patterns give the base spans. Weak candidates (short passwords, long key-like strings,
 identifiers, endpoints) say little alone; an interval join inside the document reports a weak
 secret only where an identifier or an endpoint stands within reach of it. The join never forms
-pairs: parts are summed up per (document, bin, role) as the first and last start, which is enough
-to know whether a complement lies within one bin's width.
+pairs: parts are summed up per (document, bin) as the least start and greatest end of those that
+touch the bin, which is enough to know whether a complement lies within one bin's width.
 """
 
 from __future__ import annotations
@@ -94,28 +94,32 @@ def weak_parts(text: Column) -> tuple[Column, Column]:
 
 
 def linked_weak(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """(key, added): weak secrets with a complement that starts within ``reach`` of their start.
+    """(key, added): weak secrets with a complement at most ``reach`` code points away, from span to span.
 
-    ``parts`` has key, base, weak and backing. Complements are summed up per bin of ``reach``
-    code points: any in the candidate's own bin is near enough, of the bin before only the last
-    counts, of the bin after only the first. A complement that a base span or the candidate
-    itself covers whole does not count as a second part.
+    ``parts`` has key, base, weak and backing. A complement that a base span or the candidate
+    itself covers whole does not count as a second part; an access identifier among the base spans
+    is a part. Complements are summed up in every bin of ``reach`` code points that they touch. One
+    that begins before the candidate does and is near enough touches the bin of the candidate's
+    start or the bin before; one that ends behind the candidate, that of its end or the bin after.
     """
     both = parts.where((F.size("weak") > 0) & ((F.size("backing") > 0) | (F.size("base") > 0)))
-    # An access identifier or assignment among the base spans is a part as well.
     known = F.filter("base", lambda s: s["kind"] == "access")
-    backing = both.select("key", F.explode(F.concat("backing", known)).alias("s")).select(
-        "key", F.col("s.start").alias("at"), F.col("s.end").alias("until"))
-    bins = backing.groupBy("key", F.floor(F.col("at") / reach).alias("bin")).agg(
-        F.min("at").alias("first"), F.max("at").alias("last"))
+    inside = lambda b, s: (b["start"] <= s["start"]) & (b["end"] >= s["end"])
+    backing = both.select("key", "base", F.explode(F.concat("backing", known)).alias("s"))
+    backing = backing.where(~F.exists("base", lambda b: (b["kind"] != "access") & inside(b, F.col("s"))))
+    bin_of = lambda at: F.floor(at / reach)
+    bins = backing.select("key", "s", F.explode(F.sequence(bin_of(F.col("s.start")), bin_of(F.col("s.end")))).alias("bin")).groupBy(
+        "key", "bin").agg(F.min("s.start").alias("first"), F.max("s.end").alias("last"))
     weak = both.select("key", "base", F.explode("weak").alias("s"))
-    covered = F.exists("base", lambda b: (b["start"] <= F.col("s.start")) & (b["end"] >= F.col("s.end")))
-    weak = weak.where(~covered).select("key", "s", F.floor(F.col("s.start") / reach).alias("own"))
-    near = weak.withColumn("bin", F.explode(F.array(*[F.col("own") + i for i in (-1, 0, 1)])))
+    weak = weak.where(~F.exists("base", lambda b: inside(b, F.col("s")))).select("key", "s")
+    start, end = F.col("s.start"), F.col("s.end")
+    sides = ((bin_of(start), -1), (bin_of(start), 0), (bin_of(end), 0), (bin_of(end), 1))
+    near = weak.select("key", "s", F.posexplode(F.array(*[own + i for own, i in sides])).alias("side", "bin"))
     hits = near.join(bins, ["key", "bin"]).where(
-        (F.col("bin") == F.col("own"))
-        | ((F.col("bin") < F.col("own")) & (F.col("s.start") - F.col("last") <= reach))
-        | ((F.col("bin") > F.col("own")) & (F.col("first") - F.col("s.start") <= reach))
+        ((F.col("side") == 0) & (start - F.col("last") <= reach))
+        | ((F.col("side") == 1) & (F.col("first") < start))
+        | ((F.col("side") == 2) & (F.col("last") > end))
+        | ((F.col("side") == 3) & (F.col("first") - end <= reach))
     )
     return hits.groupBy("key").agg(F.collect_set("s").alias("added"))
 
