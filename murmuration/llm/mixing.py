@@ -177,15 +177,16 @@ def mixture(docs: DataFrame, mix: Mix = Mix(), column: str = "text") -> DataFram
     sized = docs.withColumn("_mm_key", F.md5(text_of(column).cast("binary")))
     taken = mix_sources(sized, mix, column, ("_mm_key",))
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    # Rows alike in (doc_id, source, text) share their copies in one row.
+    # Of rows alike in (doc_id, source, text) one stands for all, with the copies of all.
     plan = taken.where("size > 0").groupBy("doc_id", "source", "_mm_key").agg(
         F.sum(copies).alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_mm_key").alias("_k"), "_copies", "_rows").where("_copies > 0")
     joined = sized.join(
         plan, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_mm_key") == F.col("_k"))
     )
-    times = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    several = joined.where("_rows > 1").dropDuplicates(["doc_id", "source", "_mm_key"])
+    each = joined.where("_rows = 1").unionByName(several)
+    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 DIGEST = ("doc_id", "size", "source_size", "target", "taken")

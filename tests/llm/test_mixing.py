@@ -84,3 +84,12 @@ def test_mixture_repeats_and_leaves_out(docs):
     assert mixed.columns == docs(rows).columns
     assert counts["a"] == 30 and 28 <= counts["b"] <= 32
     assert max(r["count"] for r in mixed.groupBy("doc_id").count().collect()) <= 3
+
+
+@pytest.mark.parametrize("equal", [40, 400])
+def test_equal_rows_share_their_copies(docs, equal):
+    rows = [(None, prose(1, 100), "en", "a", 1)] * equal + [(i, prose(i, 100), "en", "b", 1) for i in range(20)]
+    taken = mixing.mix_sources(docs(rows)).collect()
+    want = {s: sum(int(r["taken"] / r["size"] + 0.5) for r in taken if r["source"] == s) for s in "ab"}
+    got = {r["source"]: r["count"] for r in mixing.mixture(docs(rows)).groupBy("source").count().collect()}
+    assert got == want and want["a"] % equal
