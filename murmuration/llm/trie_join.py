@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import small_batches
+from murmuration.llm.common import small_batches, text_of
 from murmuration.operators.components import connected_components
 from murmuration.session import write_stage
 
@@ -465,14 +465,18 @@ def jaccard_join(docs: DataFrame, column: str = "text", percent: int = PERCENT)
 
 
 def one_of_each(docs: DataFrame, column: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component, that of its smallest doc_id.
+    """``docs`` with one document of each component, that of its smallest doc_id, a missing one last.
 
-    Empty texts stay, and so do rows without a doc_id; rows alike in doc_id and text are one row.
+    Documents are told apart by doc_id and text, so a doc_id may be missing or shared. Empty texts
+    stay; rows alike in doc_id and text are one row.
     """
-    joined = jaccard_join(docs.where("doc_id IS NOT NULL").select("doc_id", column), column, percent)
+    key = F.struct(
+        F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.md5(text_of(column).cast("binary")).alias("text"))
+    keyed = docs.withColumn("_mm_key", key)
+    joined = jaccard_join(keyed.select(F.col("_mm_key").alias("doc_id"), column), column, percent)
     ids = joined.where("doc_id = component_id").select(F.col("doc_id").alias("_mm_id")).distinct()
-    chosen = docs.join(ids, F.col("doc_id") == F.col("_mm_id"), "left_semi").dropDuplicates(["doc_id", column])
-    return chosen.unionByName(docs.where("doc_id IS NULL"))
+    chosen = keyed.join(ids, F.col("_mm_key") == F.col("_mm_id"), "left_semi")
+    return chosen.dropDuplicates(["doc_id", column]).select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

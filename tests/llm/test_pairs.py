@@ -86,6 +86,14 @@ def test_join_odd_input(docs, clashing):
     assert ids == sorted(["1", "2", "None", "None", "3", "4", "5", "6", "7"])
 
 
+def test_one_of_each_without_or_with_shared_ids(docs):
+    one, two, three = prose(91, 150), prose(92, 150), prose(93, 150)
+    rows = [(None, one), (None, one), (None, varied(one, 1, 2)), (5, varied(one, 2, 2)), (None, two), (None, two), (7, three), (8, varied(three, 3, 2)), (8, prose(94, 150))]
+    kept = trie_join.one_of_each(docs([(d, t, "en", "a", 1) for d, t in rows])).collect()
+    want = [rows[3], rows[4], rows[6], rows[8]]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(str, want))
+
+
 def test_a_large_group_of_near_copies(docs):
     base = prose(80, 150)
     rows = [(i, varied(base, i, 2 + i % 3)) for i in range(250)]
