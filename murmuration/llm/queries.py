@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmuration.llm import cover_tree, importance, langid, licences, mixing, pieces, quality, secrets, toxicity, trie_join
+from murmuration.llm import (
+    cover_tree, fill_middle, importance, langid, licences, mixing, pieces, quality, secrets, toxicity, trie_join,
+)
 from murmuration.session import prepare
 
 
@@ -54,6 +56,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_trie_join": op9_trie_join,
     "op10_pieces": op10_pieces,
+    "op12_fill_middle": op12_fill_middle,
 }
 
 SQL: dict[str, str] = {
@@ -73,4 +80,5 @@ SQL: dict[str, str] = {
     "op6_quality_rules": quality.ORACLE,
     "op8_licences": licences.ORACLE,
     "op9_trie_join": trie_join.ORACLE,
+    "op12_fill_middle": fill_middle.ORACLE,
 }
