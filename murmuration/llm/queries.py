@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from murmuration.llm import (
-    cover_tree, fill_middle, importance, langid, licences, mixing, pieces, quality, secrets, toxicity, trie_join,
+    cover_tree, fill_middle, importance, langid, licences, line_dedup, mixing, pieces, quality, secrets, toxicity, trie_join,
 )
 from murmuration.session import prepare
 
@@ -56,6 +56,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(_table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_trie_join": op9_trie_join,
     "op10_pieces": op10_pieces,
+    "op11_line_dedup": op11_line_dedup,
     "op12_fill_middle": op12_fill_middle,
 }
 
@@ -80,5 +85,6 @@ SQL: dict[str, str] = {
     "op6_quality_rules": quality.ORACLE,
     "op8_licences": licences.ORACLE,
     "op9_trie_join": trie_join.ORACLE,
+    "op11_line_dedup": line_dedup.ORACLE,
     "op12_fill_middle": fill_middle.ORACLE,
 }
