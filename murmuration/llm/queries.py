@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from murmuration.llm import (
-    cover_tree, fill_middle, importance, langid, licences, line_dedup, mixing, pieces, quality, secrets, toxicity, trie_join,
+    cover_tree, fill_middle, importance, langid, licences, line_dedup, mixing, pieces, prefix_trie, quality, secrets,
+    toxicity, trie_join,
 )
 from murmuration.session import prepare
 
@@ -64,6 +65,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digest(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pieces": op10_pieces,
     "op11_line_dedup": op11_line_dedup,
     "op12_fill_middle": op12_fill_middle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL: dict[str, str] = {
@@ -87,4 +93,5 @@ SQL: dict[str, str] = {
     "op9_trie_join": trie_join.ORACLE,
     "op11_line_dedup": line_dedup.ORACLE,
     "op12_fill_middle": fill_middle.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
