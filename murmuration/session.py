@@ -113,6 +113,14 @@ def stages_removed(spark: SparkSession):
         _delete(spark, own)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``write_stage`` made, once what was read from them is written elsewhere."""
+    for df in frames:
+        folder = f"{shared_folder(df.sparkSession)}/tables/"
+        found = {f[:f.index("/", f.index(folder) + len(folder))] for f in df.inputFiles() if folder in f}
+        _delete(df.sparkSession, sorted(found))
+
+
 def release_stages(spark: SparkSession) -> None:
     """Delete the tables written outside any block, once nothing lazy reads them any more."""
     _delete(spark, _UNOWNED)

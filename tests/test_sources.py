@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +180,14 @@ def test_pages_land_once_and_resume(spark, tmp_path):
     cursor = L.land_pages(later, raw, 3, 500, cursor, batch="two")
     assert {r["kind"]: r["next_after"] for r in cursor.collect()} == {"comment": "100", "post": "36"}
     assert sorted(r["id"] for r in R.load_raw(spark, raw).where("kind = 'comment'").collect()) == ["c10", "c20", "c30", "c40", "c50", "c60", "c61", "c99"]
+
+
+def test_discarded_tables_are_gone(spark):
+    from murmuration.session import discard, write_stage
+
+    first, second = (write_stage(spark.range(n), "kept") for n in (3, 4))
+    folder = first.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
+    assert Path(folder).is_dir()
+    discard(first)
+    assert not Path(folder).exists() and second.count() == 4
+    discard(spark.range(2))
