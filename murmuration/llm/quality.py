@@ -66,16 +66,10 @@ def _repeat_words(words: Column) -> Column:
     ).cast("long")
 
 
-def measures(docs: DataFrame, column: str = "text") -> DataFrame:
-    """``docs`` with a struct ``_mm_counts`` of the counts the rules compare.
-
-    A missing text has no words and no lines. Names in ``docs`` are left alone except ``_mm_words`` and ``_mm_counts``.
-    """
-    text = text_of(column)
-    with_words = docs.withColumn("_mm_words", words_of(text))
+def _counts(words: Column, text: Column) -> Column:
+    """Struct of the counts the rules compare."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    words = F.col("_mm_words")
-    counts = F.struct(
+    return F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -85,7 +79,16 @@ def measures(docs: DataFrame, column: str = "text") -> DataFrame:
         _repeat_words(words).alias("n_repeat_words"),
         F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
-    return with_words.withColumn("_mm_counts", counts).drop("_mm_words")
+
+
+def measures(docs: DataFrame, column: str = "text") -> DataFrame:
+    """``docs`` with a struct ``_mm_counts`` of the counts the rules compare.
+
+    A missing text has no words and no lines. Names in ``docs`` are left alone except ``_mm_words`` and ``_mm_counts``.
+    """
+    text = text_of(column)
+    with_words = docs.withColumn("_mm_words", words_of(text))
+    return with_words.withColumn("_mm_counts", _counts(F.col("_mm_words"), text)).drop("_mm_words")
 
 
 def failed_rules(m: Column, thresholds=THRESHOLDS) -> Column:
@@ -104,6 +107,21 @@ def failed_rules(m: Column, thresholds=THRESHOLDS) -> Column:
     return F.filter(F.array(*tests), lambda r: r.isNotNull())
 
 
+def _base_failed(m: Column) -> Column:
+    return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+
+
+def passes(column: str = "text", thresholds=THRESHOLDS) -> Column:
+    """Whether a text passes all rules, for use as a filter.
+
+    A filter on the column ``kept`` would put the counts in place of their name wherever a rule uses
+    them; here words and counts are computed once per row.
+    """
+    text = text_of(column)
+    verdict = lambda m: ~_base_failed(m) & (F.size(failed_rules(m, thresholds)) == 0)
+    return bound(words_of(text), lambda words: bound(_counts(words, text), verdict))
+
+
 def quality_rules(docs: DataFrame, column: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``failed`` (rule names) and ``kept``.
 
@@ -111,7 +129,7 @@ def quality_rules(docs: DataFrame, column: str = "text", thresholds=THRESHOLDS)
     judged each on its own. The added columns replace columns of the same names.
     """
     m = F.col("_mm_counts")
-    base = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+    base = _base_failed(m)
     failed = failed_rules(m, thresholds)
     return measures(docs, column).withColumns({
         "n_words": m["n_words"], "word_chars": m["word_chars"], "n_symbols": m["n_symbols"],

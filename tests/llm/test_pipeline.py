@@ -68,3 +68,25 @@ def test_run(spark, corpus):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_input(spark, odd_rows, tmp_path):
+    """Nulls in every column, repeated rows, shared and missing ids, a very long text, other columns."""
+    rows = odd_rows + [(i % 7 or None, f"the of and {prose(i % 9, 90)}", None if i % 2 else "en", None if i % 3 else "a", None) for i in range(40)]
+    rows += [(50, "the of and " + prose(77, 60_000), "en", "a", 1), (51, "the of and token=ABCDEFGHIJKL0123 " + prose(78, 70), "fr", "b", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.selectExpr("*", "1 AS kept", "'x' AS spans", "2 AS taken", "3 AS `_mm_key`").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    for number, (_, stage) in enumerate(P.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{number}")
+        docs = spark.read.parquet(f"{tmp_path}/{number}")
+        seen.append(docs.collect())
+    good, single, safe, mixed, ids = seen
+    counts = {t: measured(t) for _, t, *_ in rows}
+    assert Counter(r["text"] for r in good) == Counter(
+        t for _, t, *_ in rows if counts[t][0] >= 50 and 100 * counts[t][4] <= 50 * counts[t][0])
+    assert len({r["text"] for r in good}) == len(single) == len({r["text"] for r in single}) == len(safe)
+    assert not any("ABCDEFGHIJKL0123" in r["text"] for r in safe)
+    assert {(r["doc_id"], r["text"]) for r in mixed} <= {(r["doc_id"], r["text"]) for r in safe}
+    assert len(ids) == len(mixed) and all(r["round_trip"] for r in ids)

@@ -30,6 +30,16 @@ def test_quality_counts_match_brute_force(docs, odd_rows):
     assert got == Counter((r[0], *measured(r[1])) for r in odd_rows + more)
 
 
+def test_passes_is_the_column_kept(docs, odd_rows):
+    frame = docs(odd_rows + [(200 + i, prose(i, 30 + 4 * i) + " #" * (i % 40), "en", "a", 1) for i in range(80)])
+    kept = quality.quality_rules(frame).where("kept").select(*frame.columns)
+    chosen = frame.where(quality.passes())
+    assert Counter(map(tuple, chosen.collect())) == Counter(map(tuple, kept.collect()))
+    assert 20 < chosen.count() < frame.count() - 8
+    # Words and counts once, not once per rule.
+    assert chosen._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 4
+
+
 def test_quality_verdicts(docs):
     good = prose(5, 200)
     rows = {1: good, 2: " ".join(w + (" ###" if i % 5 else "") for i, w in enumerate(good.split())), 3: "zzz " + " ".join(f"q{i}x" for i in range(200)), 4: "the of " * 100,
