@@ -12,8 +12,11 @@ left as soon as the shingles that remain cannot reach the needed overlap.
 Pairs are only formed for shingles of a few classes. In the group of a common shingle all members
 are compared with a leader first, in turns, and what is found linked is merged; a second pass takes
 the pairs that are still in different components. So every link between different components is
-found, while a group of thousands of near copies never meets pair by pair. A pair must share a
-number of its first shingles that follows from both sizes, which is counted before sets travel.
+found, while a group of thousands of near copies never meets pair by pair. Before sets travel, a pair of
+rare shingles must share a number of its first shingles that follows from both sizes. In the second
+pass the place of a common shingle must leave room for the overlap in both sets: the first common
+shingle of a similar pair always does, and a passage that many different texts share, ordered last,
+does not.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from murmuration.llm.common import small_batches, text_of
 from murmuration.operators.components import connected_components
-from murmuration.session import write_stage
+from murmuration.session import discard, write_stage
 
 SHINGLE = 5
 PERCENT = 75
@@ -259,7 +262,7 @@ def _postings(order, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            tokens, owners = [], []
+            tokens, owners, places = [], [], []
             for own in shingle_sets(batch.column("text")):
                 cls = class_of(own)
                 if not len(own) or cls in seen:
@@ -269,8 +272,10 @@ def _postings(order, percent: int):
                 k = prefix_length(len(own), percent)
                 tokens.append(order.value.sort(own)[:k])
                 owners.append(np.full(k, cls))
+                places.append(np.arange(k, dtype=np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, owners)], names=["token", "cls"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x)) for x in (tokens, owners, places)], names=["token", "cls", "place"])
     return run
 
 
@@ -357,6 +362,12 @@ def _common(a: str, b: str, percent: int) -> Column:
     return overlap - F.ceil(F.greatest(a, b) * percent / 100) + 1
 
 
+def _room(percent: int) -> Column:
+    """Whether two sets can still overlap enough from this common shingle on, itself included."""
+    needed = F.ceil((F.col("size") + F.col("other_size")) * percent / (100 + percent))
+    return F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place")) >= needed
+
+
 def _stars(crowded: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
     """(leader, member): in groups of several components, members with leaders of other components.
 
@@ -391,11 +402,12 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(
         F.min("n_shingles").alias("size"), F.min(_number(F.col("doc_id"))).alias("first"))
 
-    postings = texts.select("text").mapInArrow(_postings(order, percent), "token long, cls long")
+    postings = texts.select("text").mapInArrow(_postings(order, percent), "token long, cls long, place long")
     home = Window.partitionBy("token")
     shared = postings.withColumn("_a", F.min("cls").over(home)).withColumn("_b", F.max("cls").over(home)).where("_a < _b")
-    hits = write_stage(shared.select("token", "cls"), "hits").distinct().join(classes, "cls")
-    hits = write_stage(hits.withColumn("crowd", F.count(F.lit(1)).over(home)), "hits")
+    raw = write_stage(shared.select("token", "cls", "place"), "hits")
+    hits = write_stage(raw.distinct().join(classes, "cls").withColumn("crowd", F.count(F.lit(1)).over(home)), "hits")
+    discard(raw)
     crowded = hits.where(F.col("crowd") > CROWD)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
@@ -419,24 +431,24 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
     for turn in range(TURNS):
         stars = _stars(crowded, labels, turn, percent)
         pairs = write_stage(stars if turn else stars.unionByName(few_pairs).distinct(), "pairs")
-        found = _verify(pairs, sets_of(pairs), percent)
-        links = write_stage(found if links is None else links.unionByName(found), "links")
+        sets = sets_of(pairs)
+        found, before = _verify(pairs, sets, percent), links
+        links = write_stage(found if before is None else before.unionByName(found), "links")
+        discard(sets, pairs, *([] if before is None else [before]))
         labels = write_stage(connected_components(links), "labels")
 
     # What is still apart in the shingles of many classes.
     named = crowded.join(labels, F.col("cls") == F.col("account"), "left").select(
-        "token", "cls", "size", F.coalesce("component", "cls").alias("label"))
+        "token", "cls", "size", "place", F.coalesce("component", "cls").alias("label"))
     mixed = named.withColumn("_a", F.min("label").over(home)).withColumn("_b", F.max("label").over(home)).where("_a < _b").drop("_a", "_b")
-    less = few.groupBy("cls").agg(F.count(F.lit(1)).alias("late"))
-    mixed = write_stage(mixed.join(less, "cls", "left").withColumn("late", F.coalesce("late", F.lit(0))), "mixed")
-    other = mixed.select("token", *[F.col(c).alias(f"other_{c}") for c in ("cls", "size", "late", "label")])
+    mixed = write_stage(mixed, "mixed")
+    discard(hits)
+    other = mixed.select("token", *[F.col(c).alias(f"other_{c}") for c in ("cls", "size", "place", "label")])
     apart = mixed.join(other, "token").where(
-        (F.col("cls") < F.col("other_cls")) & (F.col("label") != F.col("other_label")) & _sizes_allow("size", "other_size", percent))
-    counted = apart.groupBy("cls", "other_cls").agg(
-        F.count(F.lit(1)).alias("common"), *[F.first(c).alias(c) for c in ("size", "other_size", "late", "other_late")])
-    second = write_stage(
-        counted.where(F.col("common") + F.least("late", "other_late") >= _common("size", "other_size", percent)).select(
-            F.col("cls").alias("leader"), F.col("other_cls").alias("member")), "pairs")
+        (F.col("cls") < F.col("other_cls")) & (F.col("label") != F.col("other_label"))
+        & _sizes_allow("size", "other_size", percent) & _room(percent))
+    second = write_stage(apart.select(F.col("cls").alias("leader"), F.col("other_cls").alias("member")).distinct(), "pairs")
+    discard(mixed)
     if second.isEmpty():
         return rows, connected_components(links)
     more = write_stage(_verify(second, sets_of(second), percent), "links")

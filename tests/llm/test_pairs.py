@@ -101,6 +101,27 @@ def test_a_large_group_of_near_copies(docs):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == components(rows)
 
 
+def test_a_passage_shared_by_many_short_texts(docs):
+    passage = prose(71, 60)
+    rows = [(i, f"{prose(500 + i, 1 + i % 28)} {passage} {prose(900 + i, i % 5)}") for i in range(300)]
+    rows += [(400 + i, passage if i % 2 else f"{passage} {prose(1300 + i, 40)} {passage}") for i in range(6)]
+    got = trie_join.digest(docs([(d, t, "en", "a", 1) for d, t in rows])).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == components(rows)
+
+
+def test_the_first_common_shingle_leaves_room():
+    rng = random.Random(9)
+    for _ in range(20_000):
+        universe = range(rng.randrange(5, 60))
+        a = sorted(rng.sample(universe, rng.randrange(1, len(universe))))
+        b = sorted(set(a) - {x for x in a if rng.random() < 0.1} | {x for x in universe if rng.random() < 0.05})
+        common = set(a) & set(b)
+        if b and 100 * len(common) >= 75 * len(set(a) | set(b)):
+            i, j = a.index(min(common)), b.index(min(common))
+            assert i < trie_join.prefix_length(len(a)) and j < trie_join.prefix_length(len(b))
+            assert min(len(a) - i, len(b) - j) >= trie_join.needed_overlap(len(a), len(b))
+
+
 def brute_top(rows, k=5):
     good = [(i, np.floor(256 * np.array(v, dtype=np.float64)).astype(np.int64)) for i, v in rows
             if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)]
