@@ -72,7 +72,7 @@ def test_empty(spark, tmp_path):
 
 def test_odd_input(spark, odd_rows, tmp_path):
     """Nulls in every column, repeated rows, shared and missing ids, a very long text, other columns."""
-    rows = odd_rows + [(i % 7 or None, f"the of and {prose(i % 9, 90)}", None if i % 2 else "en", None if i % 3 else "a", None) for i in range(40)]
+    rows = odd_rows + [(i % 7 or None, f"the of and {prose(300 + i % 9, 90)}", None if i % 2 else "en", None if i % 3 else "a", None) for i in range(40)]
     rows += [(50, "the of and " + prose(77, 60_000), "en", "a", 1), (51, "the of and token=ABCDEFGHIJKL0123 " + prose(78, 70), "fr", "b", 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     frame.selectExpr("*", "1 AS kept", "'x' AS spans", "2 AS taken", "3 AS `_mm_key`").write.parquet(f"{tmp_path}/documents.parquet")
