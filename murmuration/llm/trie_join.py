@@ -11,12 +11,13 @@ left as soon as the shingles that remain cannot reach the needed overlap.
 
 Pairs are only formed for shingles of a few classes. In the group of a common shingle all members
 are compared with a leader first, in turns, and what is found linked is merged; a second pass takes
-the pairs that are still in different components. So every link between different components is
-found, while a group of thousands of near copies never meets pair by pair. Before sets travel, a pair of
-rare shingles must share a number of its first shingles that follows from both sizes. In the second
-pass the place of a common shingle must leave room for the overlap in both sets: the first common
-shingle of a similar pair always does, and a passage that many different texts share, ordered last,
-does not.
+the classes that are still in different components. There a class runs down tries of blocks of the
+larger component and stops at its first hit, as one link joins both. So every link between different
+components is found, while a group of thousands of near copies never meets pair by pair. Before sets
+travel, a pair of rare shingles must share a number of its first shingles that follows from both
+sizes. In the second pass the place of a common shingle must leave room for the overlap in both sets:
+the first common shingle of a similar pair always does, and a passage that many different texts
+share, ordered last, does not.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ BLOCK = 128
 CROWD = 16
 # Turns of the first pass, and leaders a member meets in each.
 TURNS, LEADERS = 2, 2
+# The bits of a number of the postings that hold the place.
+PLACE = 0xFFFF
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -259,10 +262,14 @@ def global_order(counts: DataFrame) -> Order:
 
 
 def _postings(order, percent: int):
+    """The first shingles of every class: 48 bits of the shingle and its place in one number.
+
+    Fewer bits can only add candidates; so can a place beyond 65,535, which counts as that.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            tokens, owners, places = [], [], []
+            spots, owners = [], []
             for own in shingle_sets(batch.column("text")):
                 cls = class_of(own)
                 if not len(own) or cls in seen:
@@ -270,12 +277,11 @@ def _postings(order, percent: int):
                 if len(seen) < CHUNK:
                     seen.add(cls)
                 k = prefix_length(len(own), percent)
-                tokens.append(order.value.sort(own)[:k])
+                place = np.minimum(np.arange(k, dtype=np.int64), PLACE)
+                spots.append((order.value.sort(own)[:k] & ~PLACE) | place)
                 owners.append(np.full(k, cls))
-                places.append(np.arange(k, dtype=np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (tokens, owners, places)], names=["token", "cls", "place"])
+            if spots:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (spots, owners)], names=["spot", "cls"])
     return run
 
 
@@ -348,6 +354,33 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.unionByName(leaders).groupBy("leader", "block").applyInPandas(run, "source long, target long")
 
 
+def _verify_blocks(probes: DataFrame, held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(source, target): one link for each probe and block of a component that it is similar enough to.
+
+    ``held`` has the members of the blocks, all of one component each, so one link is as good as all.
+    A block is stored as one trie; it is copied where more than a few blocks' worth of probes ask it.
+    """
+    parts = probes.groupBy("label", "block").agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).cast("int").alias("parts"))
+    asked = probes.join(parts, ["label", "block"]).select(
+        "label", "block", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), "cls", F.lit(True).alias("probe"))
+    copied = held.join(parts, ["label", "block"]).select(
+        "label", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cls", F.lit(False).alias("probe"))
+
+    def run(key, group):
+        whole = [np.frombuffer(b, dtype=np.int64).tolist() for b in group["ordered"]]
+        asks, ids = group["probe"].to_numpy(bool), group["cls"].tolist()
+        trie = Trie.build([(whole[i], ids[i]) for i in np.flatnonzero(~asks)])
+        found = []
+        for i in np.flatnonzero(asks):
+            hit = next(trie.similar(frozenset(whole[i]), percent), None)
+            if hit:
+                found.append((ids[i], hit[0]))
+        return pd.DataFrame(found, columns=["source", "target"], dtype="int64")
+
+    rows = asked.unionByName(copied).join(sets, "cls").drop_duplicates(["label", "block", "part", "cls", "probe"])
+    return rows.groupBy("label", "block", "part").applyInPandas(run, "source long, target long")
+
+
 def _sizes_allow(a: str, b: str, percent: int) -> Column:
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
@@ -402,7 +435,9 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(
         F.min("n_shingles").alias("size"), F.min(_number(F.col("doc_id"))).alias("first"))
 
-    postings = texts.select("text").mapInArrow(_postings(order, percent), "token long, cls long, place long")
+    postings = texts.select("text").mapInArrow(_postings(order, percent), "spot long, cls long")
+    token = F.shiftright("spot", 16)
+    postings = postings.repartition(token).select(token.alias("token"), "cls", F.col("spot").bitwiseAND(PLACE).alias("place"))
     home = Window.partitionBy("token")
     shared = postings.withColumn("_a", F.min("cls").over(home)).withColumn("_b", F.max("cls").over(home)).where("_a < _b")
     raw = write_stage(shared.select("token", "cls", "place"), "hits")
@@ -410,9 +445,9 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
     discard(raw)
     crowded = hits.where(F.col("crowd") > CROWD)
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """Ordered sets of the classes in pairs, read from the texts once more."""
-        chosen = pairs.select(F.explode(F.array("leader", "member")).alias("cls")).distinct().join(classes, "cls")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Ordered sets of the wanted classes, read from the texts once more."""
+        chosen = wanted.distinct().join(classes, "cls")
         words = context.broadcast(_filter_words(chosen.select("cls", "first")))
         return write_stage(texts.select("text", _number(F.col("doc_id")).alias("number")).mapInArrow(
             _ordered_sets(order, words), "cls long, ordered binary"), "sets")
@@ -431,7 +466,7 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
     for turn in range(TURNS):
         stars = _stars(crowded, labels, turn, percent)
         pairs = write_stage(stars if turn else stars.unionByName(few_pairs).distinct(), "pairs")
-        sets = sets_of(pairs)
+        sets = sets_of(pairs.select(F.explode(F.array("leader", "member")).alias("cls")))
         found, before = _verify(pairs, sets, percent), links
         links = write_stage(found if before is None else before.unionByName(found), "links")
         discard(sets, pairs, *([] if before is None else [before]))
@@ -441,17 +476,22 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
     named = crowded.join(labels, F.col("cls") == F.col("account"), "left").select(
         "token", "cls", "size", "place", F.coalesce("component", "cls").alias("label"))
     mixed = named.withColumn("_a", F.min("label").over(home)).withColumn("_b", F.max("label").over(home)).where("_a < _b").drop("_a", "_b")
-    mixed = write_stage(mixed, "mixed")
+    members = mixed.select("label", "cls").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    blocks = F.ceil(F.col("members") / BLOCK)
+    mixed = write_stage(mixed.join(members, "label").withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")), "mixed")
     discard(hits)
-    other = mixed.select("token", *[F.col(c).alias(f"other_{c}") for c in ("cls", "size", "place", "label")])
-    apart = mixed.join(other, "token").where(
-        (F.col("cls") < F.col("other_cls")) & (F.col("label") != F.col("other_label"))
-        & _sizes_allow("size", "other_size", percent) & _room(percent))
-    second = write_stage(apart.select(F.col("cls").alias("leader"), F.col("other_cls").alias("member")).distinct(), "pairs")
-    discard(mixed)
-    if second.isEmpty():
+    other = mixed.select("token", *[F.col(c).alias(f"other_{c}") for c in ("size", "place", "label", "members", "block")])
+    smaller = F.struct("members", "label") < F.struct("other_members", "other_label")
+    apart = mixed.join(other, "token").where(smaller & _sizes_allow("size", "other_size", percent) & _room(percent))
+    probes = write_stage(apart.select(F.col("other_label").alias("label"), F.col("other_block").alias("block"), "cls").distinct(), "probes")
+    if probes.isEmpty():
         return rows, connected_components(links)
-    more = write_stage(_verify(second, sets_of(second), percent), "links")
+    held = mixed.select("label", "block", "cls").distinct().join(probes.select("label", "block").distinct(), ["label", "block"])
+    held = write_stage(held, "held")
+    discard(mixed)
+    sets = sets_of(probes.select("cls").union(held.select("cls")))
+    more = write_stage(_verify_blocks(probes, held, sets, percent), "links")
+    discard(sets, probes, held)
     return rows, connected_components(links.unionByName(more))
 
 
