@@ -31,6 +31,20 @@ def flatten_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
     return exploded.select(*[c for c in exploded.columns if c != "element"], *fields)
 
 
+def flatten_keyed(pages: DataFrame, keys: tuple[str, ...] = ("kind", "subreddit")) -> DataFrame:
+    """Flattened pages that keep their own subreddit where it is one of the keys."""
+    if "subreddit" not in keys:
+        return flatten_pages(pages)
+    return flatten_pages(pages.withColumnRenamed("subreddit", "_of")).drop("subreddit").withColumnRenamed("_of", "subreddit")
+
+
+def page_stats(payload: Column) -> tuple[Column, Column]:
+    """Number of rows in a page (0 where it holds none) and their latest created second, row by row."""
+    rows = page_rows(payload)
+    created = F.transform(rows, lambda r: F.try_variant_get(r, "$.created_utc", "string").try_cast("double"))
+    return F.coalesce(F.size(rows), F.lit(0)), F.array_max(created)
+
+
 def keep_first(rows: DataFrame, order: list[str], key: str = "id") -> DataFrame:
     """First row per id in landing order; rows without id all stay.
 
@@ -84,8 +98,7 @@ def new_rows(pages: DataFrame, limit: int, max_pages: int, cursor: DataFrame | N
     ``pages`` has the keys, ``page`` and ``payload``; ``cursor`` is what ``resume_cursor`` gave
     for earlier pages. Rows without a readable time are taken whatever the cursor says.
     """
-    flat = flatten_pages(pages.withColumnRenamed("subreddit", "_of") if "subreddit" in keys else pages)
-    flat = flat.drop("subreddit").withColumnRenamed("_of", "subreddit") if "subreddit" in keys else flat
+    flat = flatten_keyed(pages, keys)
     used = usable_pages(flat, limit, max_pages, list(keys))
     taken = flat.join(used, [*keys, "page"], "left_semi")
     if cursor is not None:

@@ -226,6 +226,16 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> No
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
+def write_days(df: DataFrame, path: str, *further: str, day: str = "day") -> None:
+    """Rewrite the days (and further partition columns) that ``df`` holds; all other files stay.
+
+    A second run over one day replaces that day only. A day that has lost all its rows is not
+    among those of ``df`` and stays as it was. Rows are dealt by day and split where a day is large.
+    """
+    dealt = df.hint("rebalance", day, *further)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day, *further).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, key: str | None = None) -> None:
     """CSV folder with header, key column first."""
     ordered = df.select(key, *[c for c in df.columns if c != key]) if key else df
