@@ -287,7 +287,7 @@ def latest_rows(spark, d):
 
 
 def embed_texts(spark, d):
-    vectors = embed.hashed_word_vectors(B.document_rows(spark, d), "id")
+    vectors = embed.hashed_vectors(B.document_rows(spark, d), "id")
     return flat(vectors.select("id", F.posexplode("embedding").alias("dimension", "value")).where("value <> 0"))
 
 

@@ -21,12 +21,12 @@ def cluster_texts(eligible: DataFrame, settings: Settings, encoder=None) -> Data
     """Latest eligible rows with their ``semantic_cluster``.
 
     ``encoder`` adds an ``embedding`` column to a DataFrame of (position, text); without one,
-    hashed words are used.
+    a space of hashed n-grams is fitted on these texts.
     """
     # Written once: the labels are joined back to the very rows that were embedded.
     latest = write_stage(ranking.latest_rows(eligible, settings.max_embedding_rows), "latest")
     texts = latest.select("position", "text")
-    vectors = encoder(texts) if encoder else embed.hashed_word_vectors(texts, "position")
+    vectors = encoder(texts) if encoder else embed.hashed_vectors(texts, "position")
     labels = density.dbscan_labels(
         vectors.select(F.col("position").cast("long").alias("position"), "embedding"),
         settings.semantic_similarity_threshold, settings.min_cluster_size,

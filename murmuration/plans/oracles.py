@@ -6,6 +6,7 @@ boundaries, so both are spelled out as character classes.
 
 from __future__ import annotations
 
+from murmuration.operators.embed import HASHED_DIMENSIONS
 from murmuration.plans.catalog import TOPICS, VECTOR_SIMILARITY
 
 _SPACE = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -376,14 +377,24 @@ SELECT id, author, us AS created_dt, kind, subreddit, score, link_id, parent_id,
   row_number() OVER (ORDER BY us, id) - 1 AS position
 FROM (SELECT * FROM activity ORDER BY us DESC, id DESC LIMIT 3000)""",
     "embed_texts": f"""WITH {_DOCS},
-words AS (SELECT id, md5(word) AS h FROM (
-  SELECT id, unnest(string_split(lower(text), ' ')) AS word FROM docs) WHERE word <> ''),
+crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+  lambda x, s: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS tab),
+words AS (SELECT id, list_filter(string_split(lower(text), ' '), lambda w: w <> '') AS w FROM docs),
+grams AS (
+  SELECT id, unnest(w) AS gram FROM words
+  UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words),
+marks AS (
+  SELECT gram, xor(list_reduce(list_prepend(4294967295, list_transform(
+    regexp_extract_all(hex(encode(gram)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+    lambda a, c: xor(a >> 8, tab[(xor(a, c) & 255) + 1])), 4294967295) % {2 * HASHED_DIMENSIONS} AS mark
+  FROM (SELECT DISTINCT gram FROM grams), crc),
 sums AS (
-  SELECT id, CAST('0x' || substr(h, 1, 6) AS BIGINT) % 64 AS dimension,
-    sum(CASE WHEN CAST('0x' || substr(h, 7, 2) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS v
-  FROM words GROUP BY ALL)
+  SELECT id, mark // 2 AS dimension, sum(CASE WHEN mark % 2 = 0 THEN 1.0 ELSE -1.0 END) AS v
+  FROM grams JOIN marks USING (gram) GROUP BY ALL),
+idf AS (SELECT dimension, ln((1 + (SELECT count(*) FROM docs)) / (1 + count(*))) + 1 AS w FROM sums GROUP BY dimension),
+weighted AS (SELECT id, dimension, CAST(v AS DOUBLE) * w AS v FROM sums JOIN idf USING (dimension))
 SELECT id, dimension, round(CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS FLOAT) AS DOUBLE), 6) AS value
-FROM sums QUALIFY value <> 0""",
+FROM weighted WHERE v <> 0 QUALIFY value <> 0""",
     "cosine_neighbors": f"WITH {_VECTORS} SELECT rep_a, rep_b, round(similarity, 6) AS similarity FROM near",
     "dbscan_labels": _DBSCAN,
     "dbscan_zero_vectors": _DBSCAN.replace(
