@@ -262,14 +262,14 @@ def global_order(counts: DataFrame) -> Order:
 
 
 def _postings(order, percent: int):
-    """The first shingles of every class: 48 bits of the shingle and its place in one number.
+    """The first shingles of every class, 48 bits of a shingle and its place in one number, and its size.
 
     Fewer bits can only add candidates; so can a place beyond 65,535, which counts as that.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            spots, owners = [], []
+            spots, owners, sizes = [], [], []
             for own in shingle_sets(batch.column("text")):
                 cls = class_of(own)
                 if not len(own) or cls in seen:
@@ -280,8 +280,10 @@ def _postings(order, percent: int):
                 place = np.minimum(np.arange(k, dtype=np.int64), PLACE)
                 spots.append((order.value.sort(own)[:k] & ~PLACE) | place)
                 owners.append(np.full(k, cls))
+                sizes.append(np.full(k, len(own)))
             if spots:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (spots, owners)], names=["spot", "cls"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x)) for x in (spots, owners, sizes)], names=["spot", "cls", "size"])
     return run
 
 
@@ -413,10 +415,22 @@ def _stars(crowded: DataFrame, labels: DataFrame, turn: int, percent: int) -> Da
     met = named.withColumn("chief", chief).where(F.col("label") != F.col("chief.label")).select(
         F.col("chief.cls").alias("leader"), F.col("cls").alias("member"), "size", F.col("chief.size").alias("leader_size"))
     counted = met.where(_sizes_allow("size", "leader_size", percent)).groupBy("leader", "member").agg(F.count(F.lit(1)).alias("common"))
+    return _best(counted)
+
+
+def _best(counted: DataFrame) -> DataFrame:
+    """(leader, member): for every member the LEADERS it has most in common with."""
     best = Window.partitionBy("member").orderBy(F.desc("common"), "leader")
     return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS).select("leader", "member")
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose two classes are not in one component yet."""
+    one, two = [labels.select(F.col("account").alias(c), F.col("component").alias(f"_{c}")) for c in ("leader", "member")]
+    named = pairs.join(one, "leader", "left").join(two, "member", "left")
+    return named.where(F.coalesce("_leader", "leader") != F.coalesce("_member", "member")).select("leader", "member")
+
+
 def _number(doc_id: Column) -> Column:
     """A number standing for a doc_id in the filter."""
     return F.xxhash64(doc_id)
@@ -435,14 +449,17 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(
         F.min("n_shingles").alias("size"), F.min(_number(F.col("doc_id"))).alias("first"))
 
-    postings = texts.select("text").mapInArrow(_postings(order, percent), "spot long, cls long")
+    # One shuffle by token does it all: what is not shared goes, copies of a class become one, groups are counted.
+    postings = texts.select("text").mapInArrow(_postings(order, percent), "spot long, cls long, size long")
     token = F.shiftright("spot", 16)
-    postings = postings.repartition(token).select(token.alias("token"), "cls", F.col("spot").bitwiseAND(PLACE).alias("place"))
+    postings = postings.repartition(token).select(
+        token.alias("token"), "cls", "size", F.col("spot").bitwiseAND(PLACE).alias("place"))
     home = Window.partitionBy("token")
     shared = postings.withColumn("_a", F.min("cls").over(home)).withColumn("_b", F.max("cls").over(home)).where("_a < _b")
-    raw = write_stage(shared.select("token", "cls", "place"), "hits")
-    hits = write_stage(raw.distinct().join(classes, "cls").withColumn("crowd", F.count(F.lit(1)).over(home)), "hits")
-    discard(raw)
+    grouped = shared.select("token", "cls", "size", "place").distinct().withColumn("crowd", F.count(F.lit(1)).over(home))
+    later = F.collect_list(F.struct(F.col("cls").alias("other_cls"), F.col("size").alias("other_size"))).over(
+        home.orderBy("cls", "place").rowsBetween(1, CROWD))
+    hits = write_stage(grouped.withColumn("others", F.when(F.col("crowd") <= CROWD, later)), "hits")
     crowded = hits.where(F.col("crowd") > CROWD)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -452,26 +469,33 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
         return write_stage(texts.select("text", _number(F.col("doc_id")).alias("number")).mapInArrow(
             _ordered_sets(order, words), "cls long, ordered binary"), "sets")
 
-    # Shingles of few classes: all pairs, counted. Those of many: everyone with the smallest class.
-    late = crowded.groupBy("cls").agg(F.count(F.lit(1)).alias("late"))
-    few = hits.where(F.col("crowd") <= CROWD).join(late, "cls", "left").select(
-        "token", "cls", "size", F.coalesce("late", F.lit(0)).alias("late"))
-    other = few.select("token", *[F.col(c).alias(f"other_{c}") for c in ("cls", "size", "late")])
-    counted = few.join(other, "token").where((F.col("cls") < F.col("other_cls")) & _sizes_allow("size", "other_size", percent))
-    counted = counted.groupBy("cls", "other_cls").agg(
-        F.count(F.lit(1)).alias("common"), *[F.first(c).alias(c) for c in ("size", "other_size", "late", "other_late")])
-    close = counted.where(F.col("common") + F.least("late", "other_late") >= _common("size", "other_size", percent))
-    few_pairs = close.select(F.col("cls").alias("leader"), F.col("other_cls").alias("member"))
+    # Shingles of few classes: all pairs, counted. Those of many can only add as many as both sets have.
+    late = write_stage(crowded.groupBy("cls").agg(F.count(F.lit(1)).alias("late")), "late")
+    met = hits.where(F.size("others") > 0).select("cls", "size", F.inline("others"))
+    met = met.where((F.col("cls") < F.col("other_cls")) & _sizes_allow("size", "other_size", percent))
+    counted = met.groupBy("cls", "other_cls").agg(
+        F.count(F.lit(1)).alias("common"), *[F.first(c).alias(c) for c in ("size", "other_size")])
+    counted = counted.withColumn("need", _common("size", "other_size", percent))
+    counted = counted.join(late, "cls", "left").join(
+        late.select(F.col("cls").alias("other_cls"), F.col("late").alias("other_late")), "other_cls", "left")
+    added = F.least(F.coalesce("late", F.lit(0)), F.coalesce("other_late", F.lit(0)))
+    few = write_stage(counted.where(F.col("common") + added >= F.col("need")).select(
+        F.col("cls").alias("leader"), F.col("other_cls").alias("member"), "common"), "few")
+    discard(late)
     links, labels = None, crowded.select(F.col("cls").alias("account"), F.col("cls").alias("component")).limit(0)
     for turn in range(TURNS):
-        stars = _stars(crowded, labels, turn, percent)
-        pairs = write_stage(stars if turn else stars.unionByName(few_pairs).distinct(), "pairs")
+        # Of the pairs of rare shingles a member's best come first, then those still in different components.
+        pairs = _stars(crowded, labels, turn, percent).unionByName(
+            _best(few) if not turn else _apart(few, labels) if turn == 1 else few.select("leader", "member").limit(0))
+        pairs = write_stage(pairs.distinct(), "pairs")
         sets = sets_of(pairs.select(F.explode(F.array("leader", "member")).alias("cls")))
         found, before = _verify(pairs, sets, percent), links
         links = write_stage(found if before is None else before.unionByName(found), "links")
         discard(sets, pairs, *([] if before is None else [before]))
         labels = write_stage(connected_components(links), "labels")
 
+    discard(few)
+
     # What is still apart in the shingles of many classes.
     named = crowded.join(labels, F.col("cls") == F.col("account"), "left").select(
         "token", "cls", "size", "place", F.coalesce("component", "cls").alias("label"))
