@@ -10,20 +10,21 @@ down the trie. The overlap of a path is computed once for all members behind it,
 left as soon as the shingles that remain cannot reach the needed overlap.
 
 Pairs are only formed for shingles of a few classes. In the group of a common shingle all members
-are compared with a leader first, in turns, and what is found linked is merged; a second pass takes
-the classes that are still in different components. There a class runs down tries of blocks of the
-larger component and stops at its first hit, as one link joins both. So every link between different
-components is found, while a group of thousands of near copies never meets pair by pair. Before sets
-travel, a pair of rare shingles must share a number of its first shingles that follows from both
-sizes. In the second pass the place of a common shingle must leave room for the overlap in both sets:
-the first common shingle of a similar pair always does, and a passage that many different texts
-share, ordered last, does not.
+are compared with leaders first, and so are a class's best pairs of rare shingles; what is found linked
+is merged. A second pass takes what is still in different components: the other pairs of rare shingles,
+and classes that run down tries of blocks of the larger component and stop at their first hit, as one
+link joins both. So every link between different components is found, while a group of thousands of near
+copies never meets pair by pair. Before sets travel, a pair of rare shingles must share a number of its
+first shingles that follows from both sizes. In the second pass the place of a common shingle must leave
+room for the overlap: the first common shingle of a similar pair always does, and a passage that many
+different texts share, ordered last, does not.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -45,8 +46,8 @@ CHUNK = 1 << 20
 BLOCK = 128
 # A shingle of at most so many classes makes all their pairs; beyond, leaders come first.
 CROWD = 16
-# Turns of the first pass, and leaders a member meets in each.
-TURNS, LEADERS = 2, 2
+# Leaders of a group of many, and partners a class meets among those of rare shingles, in the first pass.
+LEADERS, PARTNERS = 8, 2
 # The bits of a number of the postings that hold the place.
 PLACE = 0xFFFF
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -313,6 +314,7 @@ def _filter_words(chosen: DataFrame) -> np.ndarray:
 def _ordered_sets(order, words):
     """The sets that pass the filter; it may let a few more through, which no pair asks for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
             sets = shingle_sets(batch.column("text"))
             cls = np.array([class_of(x) for x in sets], dtype=np.int64)
@@ -320,7 +322,10 @@ def _ordered_sets(order, words):
             for salt in (1, 2):
                 spot = _spot(cls, batch.column("number").to_numpy(), salt)
                 hit &= (words.value[spot >> 5] >> (spot & 31).astype(np.uint32)) & 1 == 1
-            at = np.flatnonzero(hit)
+            # Copies with one number pass together; a task writes a class once.
+            at = np.array([i for c, i in {cls[i]: i for i in np.flatnonzero(hit)}.items() if c not in seen], dtype=np.int64)
+            if len(seen) < CHUNK:
+                seen.update(cls[at].tolist())
             if len(at):
                 ordered = [order.value.sort(sets[i])[::-1].tobytes() for i in at.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(ordered, pa.binary())], names=["cls", "ordered"])
@@ -344,23 +349,21 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(key, group):
         leader = int(key[0])
         whole = [np.frombuffer(b, dtype=np.int64).tolist() for b in group["ordered"]]
-        probe, trie = None, []
-        for cls, sequence in zip(group["cls"].tolist(), whole):
-            if cls == leader:
-                probe = frozenset(sequence)
-            else:
-                trie.append((sequence, cls))
-        found = [label for label, _ in Trie.build(trie).similar(probe, percent)] if probe is not None and trie else []
+        # The sets may hold a class more than once.
+        held = dict(zip(group["cls"].tolist(), whole))
+        probe = held.pop(leader, None)
+        trie = Trie.build([(sequence, cls) for cls, sequence in held.items()])
+        found = [label for label, _ in trie.similar(frozenset(probe), percent)] if probe and held else []
         return pd.DataFrame({"source": np.full(len(found), leader, dtype=np.int64), "target": np.array(found, dtype=np.int64)})
 
     return members.unionByName(leaders).groupBy("leader", "block").applyInPandas(run, "source long, target long")
 
 
-def _verify_blocks(probes: DataFrame, held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(source, target): one link for each probe and block of a component that it is similar enough to.
+def _verify_blocks(probes: DataFrame, held: DataFrame, sets: DataFrame, percent: int, hits: int = 1) -> DataFrame:
+    """(source, target): at most ``hits`` links for each probe and block that holds sets similar to it.
 
-    ``held`` has the members of the blocks, all of one component each, so one link is as good as all.
-    A block is stored as one trie; it is copied where more than a few blocks' worth of probes ask it.
+    One is as good as all where ``held`` has the members of one component in a block. A block is
+    stored as one trie; it is copied where more than a few blocks' worth of probes ask it.
     """
     parts = probes.groupBy("label", "block").agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).cast("int").alias("parts"))
     asked = probes.join(parts, ["label", "block"]).select(
@@ -371,15 +374,15 @@ def _verify_blocks(probes: DataFrame, held: DataFrame, sets: DataFrame, percent:
     def run(key, group):
         whole = [np.frombuffer(b, dtype=np.int64).tolist() for b in group["ordered"]]
         asks, ids = group["probe"].to_numpy(bool), group["cls"].tolist()
-        trie = Trie.build([(whole[i], ids[i]) for i in np.flatnonzero(~asks)])
+        # The sets may hold a class more than once.
+        trie = Trie.build([(whole[i], cls) for cls, i in {ids[i]: i for i in np.flatnonzero(~asks)}.items()])
         found = []
-        for i in np.flatnonzero(asks):
-            hit = next(trie.similar(frozenset(whole[i]), percent), None)
-            if hit:
-                found.append((ids[i], hit[0]))
+        for cls, i in {ids[i]: i for i in np.flatnonzero(asks)}.items():
+            others = (label for label, _ in trie.similar(frozenset(whole[i]), percent) if label != cls)
+            found += [(cls, label) for label in islice(others, hits)]
         return pd.DataFrame(found, columns=["source", "target"], dtype="int64")
 
-    rows = asked.unionByName(copied).join(sets, "cls").drop_duplicates(["label", "block", "part", "cls", "probe"])
+    rows = asked.unionByName(copied).join(sets, "cls")
     return rows.groupBy("label", "block", "part").applyInPandas(run, "source long, target long")
 
 
@@ -397,31 +400,40 @@ def _common(a: str, b: str, percent: int) -> Column:
     return overlap - F.ceil(F.greatest(a, b) * percent / 100) + 1
 
 
-def _room(percent: int) -> Column:
-    """Whether two sets can still overlap enough from this common shingle on, itself included."""
-    needed = F.ceil((F.col("size") + F.col("other_size")) * percent / (100 + percent))
-    return F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place")) >= needed
+def _block_allows(percent: int) -> Column:
+    """Whether a set and one of a block may overlap enough from this common shingle on, itself included.
+
+    A block is known by its least and its largest size and by the most shingles that follow in one of
+    its sets, so it may pass without such a set, but never fail with one.
+    """
+    needed = F.ceil((F.col("size") + F.col("least")) * percent / (100 + percent))
+    sizes = (100 * F.col("size") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("size"))
+    return sizes & (F.least(F.col("size") - F.col("place"), F.col("room")) >= needed)
 
 
-def _stars(crowded: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(leader, member): in groups of several components, members with leaders of other components.
+def _stars(crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(label, block, cls) of the members and of the leaders they meet, named by the first leader.
 
-    A group's leader is drawn anew each turn; a member meets the LEADERS it shares most groups
-    with. Pairs left out here come in the second pass.
+    A class goes to the first leader it shares most groups with. Pairs left out come in the second pass.
     """
-    home = Window.partitionBy("token")
-    named = crowded.join(labels, F.col("cls") == F.col("account"), "left").withColumn("label", F.coalesce("component", "cls"))
-    chief = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("draw"), "cls", "size", "label")).over(home)
-    met = named.withColumn("chief", chief).where(F.col("label") != F.col("chief.label")).select(
-        F.col("chief.cls").alias("leader"), F.col("cls").alias("member"), "size", F.col("chief.size").alias("leader_size"))
-    counted = met.where(_sizes_allow("size", "leader_size", percent)).groupBy("leader", "member").agg(F.count(F.lit(1)).alias("common"))
-    return _best(counted)
+    draw = F.xxhash64("cls")
+    drawn = Window.partitionBy("token").orderBy(draw, "cls")
+    named = crowded.select("token", "cls", F.first("cls").over(drawn).alias("label"), F.row_number().over(drawn).alias("turn"))
+    counted = write_stage(named.groupBy("label", "cls").agg(F.count(F.lit(1)).alias("common"), F.min("turn").alias("turn")), "stars")
+    most = Window.partitionBy("cls").orderBy(F.desc("common"), "label")
+    probes = counted.withColumn("rank", F.row_number().over(most)).where("rank = 1").select("label", F.lit(0).alias("block"), "cls")
+    early = Window.partitionBy("label").orderBy(draw, "cls")
+    held = counted.where(F.col("turn") <= LEADERS).withColumn("rank", F.row_number().over(early))
+    held = held.where(F.col("rank") <= LEADERS).select("label", F.lit(0).alias("block"), "cls")
+    probes, held = write_stage(probes, "stars"), write_stage(held, "stars")
+    discard(counted)
+    return probes, held
 
 
 def _best(counted: DataFrame) -> DataFrame:
-    """(leader, member): for every member the LEADERS it has most in common with."""
+    """(leader, member): for every member the PARTNERS it has most in common with."""
     best = Window.partitionBy("member").orderBy(F.desc("common"), "leader")
-    return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS).select("leader", "member")
+    return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= PARTNERS).select("leader", "member")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -482,21 +494,17 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
     few = write_stage(counted.where(F.col("common") + added >= F.col("need")).select(
         F.col("cls").alias("leader"), F.col("other_cls").alias("member"), "common"), "few")
     discard(late)
-    links, labels = None, crowded.select(F.col("cls").alias("account"), F.col("cls").alias("component")).limit(0)
-    for turn in range(TURNS):
-        # Of the pairs of rare shingles a member's best come first, then those still in different components.
-        pairs = _stars(crowded, labels, turn, percent).unionByName(
-            _best(few) if not turn else _apart(few, labels) if turn == 1 else few.select("leader", "member").limit(0))
-        pairs = write_stage(pairs.distinct(), "pairs")
-        sets = sets_of(pairs.select(F.explode(F.array("leader", "member")).alias("cls")))
-        found, before = _verify(pairs, sets, percent), links
-        links = write_stage(found if before is None else before.unionByName(found), "links")
-        discard(sets, pairs, *([] if before is None else [before]))
-        labels = write_stage(connected_components(links), "labels")
-
+    pairs = write_stage(_best(few), "pairs")
+    probes, held = _stars(crowded)
+    sets = sets_of(pairs.select(F.explode(F.array("leader", "member")).alias("cls")).union(probes.select("cls")).union(held.select("cls")))
+    links = _verify(pairs, sets, percent).unionByName(_verify_blocks(probes, held, sets, percent, LEADERS))
+    links = write_stage(links, "links")
+    discard(sets, pairs, probes, held)
+    labels = write_stage(connected_components(links), "labels")
+
+    # The second pass: what is still apart, in the shingles of few classes and in those of many.
+    pairs = write_stage(_apart(few, labels), "pairs")
     discard(few)
-
-    # What is still apart in the shingles of many classes.
     named = crowded.join(labels, F.col("cls") == F.col("account"), "left").select(
         "token", "cls", "size", "place", F.coalesce("component", "cls").alias("label"))
     mixed = named.withColumn("_a", F.min("label").over(home)).withColumn("_b", F.max("label").over(home)).where("_a < _b").drop("_a", "_b")
@@ -504,18 +512,20 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
     blocks = F.ceil(F.col("members") / BLOCK)
     mixed = write_stage(mixed.join(members, "label").withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")), "mixed")
     discard(hits)
-    other = mixed.select("token", *[F.col(c).alias(f"other_{c}") for c in ("size", "place", "label", "members", "block")])
+    other = mixed.groupBy("token", *[F.col(c).alias(f"other_{c}") for c in ("label", "members", "block")]).agg(
+        F.min("size").alias("least"), F.max("size").alias("most"), F.max(F.col("size") - F.col("place")).alias("room"))
     smaller = F.struct("members", "label") < F.struct("other_members", "other_label")
-    apart = mixed.join(other, "token").where(smaller & _sizes_allow("size", "other_size", percent) & _room(percent))
+    apart = mixed.join(other, "token").where(smaller & _block_allows(percent))
     probes = write_stage(apart.select(F.col("other_label").alias("label"), F.col("other_block").alias("block"), "cls").distinct(), "probes")
-    if probes.isEmpty():
+    if pairs.isEmpty() and probes.isEmpty():
         return rows, connected_components(links)
     held = mixed.select("label", "block", "cls").distinct().join(probes.select("label", "block").distinct(), ["label", "block"])
     held = write_stage(held, "held")
     discard(mixed)
-    sets = sets_of(probes.select("cls").union(held.select("cls")))
-    more = write_stage(_verify_blocks(probes, held, sets, percent), "links")
-    discard(sets, probes, held)
+    wanted = pairs.select(F.explode(F.array("leader", "member")).alias("cls")).union(probes.select("cls")).union(held.select("cls"))
+    sets = sets_of(wanted)
+    more = write_stage(_verify(pairs, sets, percent).unionByName(_verify_blocks(probes, held, sets, percent)), "links")
+    discard(sets, pairs, probes, held)
     return rows, connected_components(links.unionByName(more))
 
 
