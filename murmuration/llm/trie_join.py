@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -332,58 +333,53 @@ def _ordered_sets(order, words):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(source, target) of the pairs (leader, member) that are similar enough.
+def _pair_blocks(pairs: DataFrame) -> DataFrame:
+    """(label, block, cls, hits) of pairs (leader, member): a leader asks blocks of its members for all hits.
 
-    A leader's members are dealt into blocks of about BLOCK, each with a copy of the leader's set.
+    A leader's members are dealt into blocks of about BLOCK. Numbers of blocks are negative here.
     """
-    many = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = pairs.join(many, "leader").select(
-        "leader", "member", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"))
-    members = dealt.join(sets.withColumnRenamed("cls", "member"), "member").select(
-        "leader", "block", F.col("member").alias("cls"), "ordered")
-    leaders = many.select("leader", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"))
-    leaders = leaders.join(sets.withColumnRenamed("cls", "leader"), "leader").select(
-        "leader", "block", F.col("leader").alias("cls"), "ordered")
+    many = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    block = F.lit(-1) - F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
+    held = pairs.join(many, "leader").select(
+        F.col("leader").alias("label"), block.alias("block"), F.col("member").alias("cls"), F.lit(0).alias("hits"))
+    asked = many.select(F.col("leader").alias("label"), F.explode(F.sequence(F.lit(-1), -F.col("blocks"), F.lit(-1))).alias("block"))
+    return held.unionByName(asked.select("label", "block", F.col("label").alias("cls"), F.lit(1 << 30).alias("hits")))
 
-    def run(key, group):
-        leader = int(key[0])
-        whole = [np.frombuffer(b, dtype=np.int64).tolist() for b in group["ordered"]]
-        # The sets may hold a class more than once.
-        held = dict(zip(group["cls"].tolist(), whole))
-        probe = held.pop(leader, None)
-        trie = Trie.build([(sequence, cls) for cls, sequence in held.items()])
-        found = [label for label, _ in trie.similar(frozenset(probe), percent)] if probe and held else []
-        return pd.DataFrame({"source": np.full(len(found), leader, dtype=np.int64), "target": np.array(found, dtype=np.int64)})
 
-    return members.unionByName(leaders).groupBy("leader", "block").applyInPandas(run, "source long, target long")
+def _routes(*blocks: DataFrame) -> DataFrame:
+    """The rows (label, block, cls, hits) of all blocks with the part of a block they go to, written.
 
+    A row with hits asks, one without is held. A block is copied where more than a few blocks' worth
+    of rows ask it. Written, this table of numbers has a known size when the sets join it.
+    """
+    rows = reduce(DataFrame.unionByName, blocks)
+    parts = rows.where("hits > 0").groupBy("label", "block").agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).cast("int").alias("parts"))
+    own = F.array(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    part = F.explode(F.when(F.col("hits") > 0, own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return write_stage(rows.join(parts, ["label", "block"]).select("label", "block", "cls", "hits", part.alias("part")), "routes")
 
-def _verify_blocks(probes: DataFrame, held: DataFrame, sets: DataFrame, percent: int, hits: int = 1) -> DataFrame:
-    """(source, target): at most ``hits`` links for each probe and block that holds sets similar to it.
 
-    One is as good as all where ``held`` has the members of one component in a block. A block is
-    stored as one trie; it is copied where more than a few blocks' worth of probes ask it.
-    """
-    parts = probes.groupBy("label", "block").agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).cast("int").alias("parts"))
-    asked = probes.join(parts, ["label", "block"]).select(
-        "label", "block", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), "cls", F.lit(True).alias("probe"))
-    copied = held.join(parts, ["label", "block"]).select(
-        "label", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cls", F.lit(False).alias("probe"))
+def _verify(routes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(source, target): at most ``hits`` links for each row that asks a block holding sets similar to its own.
 
+    One is as good as all where a block has the members of one component. A block is stored as one trie.
+    """
     def run(key, group):
         whole = [np.frombuffer(b, dtype=np.int64).tolist() for b in group["ordered"]]
-        asks, ids = group["probe"].to_numpy(bool), group["cls"].tolist()
         # The sets may hold a class more than once.
-        trie = Trie.build([(whole[i], cls) for cls, i in {ids[i]: i for i in np.flatnonzero(~asks)}.items()])
-        found = []
-        for cls, i in {ids[i]: i for i in np.flatnonzero(asks)}.items():
-            others = (label for label, _ in trie.similar(frozenset(whole[i]), percent) if label != cls)
+        held, asked = {}, {}
+        for cls, hits, sequence in zip(group["cls"].tolist(), group["hits"].tolist(), whole):
+            if hits:
+                asked[cls] = hits, sequence
+            else:
+                held[cls] = sequence
+        trie, found = Trie.build([(sequence, cls) for cls, sequence in held.items()]), []
+        for cls, (hits, sequence) in asked.items():
+            others = (label for label, _ in trie.similar(frozenset(sequence), percent) if label != cls)
             found += [(cls, label) for label in islice(others, hits)]
         return pd.DataFrame(found, columns=["source", "target"], dtype="int64")
 
-    rows = asked.unionByName(copied).join(sets, "cls")
-    return rows.groupBy("label", "block", "part").applyInPandas(run, "source long, target long")
+    return routes.join(sets, "cls").groupBy("label", "block", "part").applyInPandas(run, "source long, target long")
 
 
 def _sizes_allow(a: str, b: str, percent: int) -> Column:
@@ -411,8 +407,8 @@ def _block_allows(percent: int) -> Column:
     return sizes & (F.least(F.col("size") - F.col("place"), F.col("room")) >= needed)
 
 
-def _stars(crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(label, block, cls) of the members and of the leaders they meet, named by the first leader.
+def _stars(crowded: DataFrame) -> DataFrame:
+    """(label, block, cls, hits) of the members and of the leaders they meet, named by the first leader.
 
     A class goes to the first leader it shares most groups with. Pairs left out come in the second pass.
     """
@@ -421,13 +417,13 @@ def _stars(crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = crowded.select("token", "cls", F.first("cls").over(drawn).alias("label"), F.row_number().over(drawn).alias("turn"))
     counted = write_stage(named.groupBy("label", "cls").agg(F.count(F.lit(1)).alias("common"), F.min("turn").alias("turn")), "stars")
     most = Window.partitionBy("cls").orderBy(F.desc("common"), "label")
-    probes = counted.withColumn("rank", F.row_number().over(most)).where("rank = 1").select("label", F.lit(0).alias("block"), "cls")
+    probes = counted.withColumn("rank", F.row_number().over(most)).where("rank = 1").select("label", F.lit(0).alias("block"), "cls", F.lit(LEADERS).alias("hits"))
     early = Window.partitionBy("label").orderBy(draw, "cls")
     held = counted.where(F.col("turn") <= LEADERS).withColumn("rank", F.row_number().over(early))
-    held = held.where(F.col("rank") <= LEADERS).select("label", F.lit(0).alias("block"), "cls")
-    probes, held = write_stage(probes, "stars"), write_stage(held, "stars")
+    held = held.where(F.col("rank") <= LEADERS).select("label", F.lit(0).alias("block"), "cls", F.lit(0).alias("hits"))
+    blocks = write_stage(probes.unionByName(held), "stars")
     discard(counted)
-    return probes, held
+    return blocks
 
 
 def _best(counted: DataFrame) -> DataFrame:
@@ -494,12 +490,11 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
     few = write_stage(counted.where(F.col("common") + added >= F.col("need")).select(
         F.col("cls").alias("leader"), F.col("other_cls").alias("member"), "common"), "few")
     discard(late)
-    pairs = write_stage(_best(few), "pairs")
-    probes, held = _stars(crowded)
-    sets = sets_of(pairs.select(F.explode(F.array("leader", "member")).alias("cls")).union(probes.select("cls")).union(held.select("cls")))
-    links = _verify(pairs, sets, percent).unionByName(_verify_blocks(probes, held, sets, percent, LEADERS))
-    links = write_stage(links, "links")
-    discard(sets, pairs, probes, held)
+    stars, pairs = _stars(crowded), write_stage(_best(few), "pairs")
+    routes = _routes(stars, _pair_blocks(pairs))
+    sets = sets_of(routes.select("cls"))
+    links = write_stage(_verify(routes, sets, percent), "links")
+    discard(stars, pairs, sets, routes)
     labels = write_stage(connected_components(links), "labels")
 
     # The second pass: what is still apart, in the shingles of few classes and in those of many.
@@ -516,16 +511,16 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
         F.min("size").alias("least"), F.max("size").alias("most"), F.max(F.col("size") - F.col("place")).alias("room"))
     smaller = F.struct("members", "label") < F.struct("other_members", "other_label")
     apart = mixed.join(other, "token").where(smaller & _block_allows(percent))
-    probes = write_stage(apart.select(F.col("other_label").alias("label"), F.col("other_block").alias("block"), "cls").distinct(), "probes")
+    probes = write_stage(apart.select(F.col("other_label").alias("label"), F.col("other_block").alias("block"), "cls", F.lit(1).alias("hits")).distinct(), "probes")
     if pairs.isEmpty() and probes.isEmpty():
         return rows, connected_components(links)
-    held = mixed.select("label", "block", "cls").distinct().join(probes.select("label", "block").distinct(), ["label", "block"])
-    held = write_stage(held, "held")
-    discard(mixed)
-    wanted = pairs.select(F.explode(F.array("leader", "member")).alias("cls")).union(probes.select("cls")).union(held.select("cls"))
-    sets = sets_of(wanted)
-    more = write_stage(_verify(pairs, sets, percent).unionByName(_verify_blocks(probes, held, sets, percent)), "links")
-    discard(sets, pairs, probes, held)
+    held = mixed.select("label", "block", "cls", F.lit(0).alias("hits")).distinct()
+    held = held.join(probes.select("label", "block").distinct(), ["label", "block"], "left_semi")
+    routes = _routes(probes, held, _pair_blocks(pairs))
+    discard(mixed, probes, pairs)
+    sets = sets_of(routes.select("cls"))
+    more = write_stage(_verify(routes, sets, percent), "links")
+    discard(sets, routes)
     return rows, connected_components(links.unionByName(more))
 
 
