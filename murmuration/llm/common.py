@@ -61,18 +61,27 @@ def small_batches(df: DataFrame, rows: int = 512) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def labelled_sample(ids: DataFrame, docs: DataFrame, per_label: int, labels: int) -> list[tuple[str, object]]:
-    """(text, label) of at most ``labels * per_label`` documents, the same ones in every run.
+def _least(rows: DataFrame, by: Column, key: str, n: int, buckets: int = 64) -> DataFrame:
+    """Per ``key`` the ``n`` rows least in ``by``: first in buckets of the rows, then of what they leave."""
+    salted = rows.withColumn("_by", by).withColumn("_b", F.pmod(F.xxhash64("_by"), F.lit(buckets)))
+    for part in ((key, "_b"), (key,)):
+        order = Window.partitionBy(*part).orderBy("_by")
+        salted = salted.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
+    return salted.drop("_by", "_b")
 
-    ``ids`` holds (doc_id, label). The ``labels`` most frequent labels take part, each with the
-    documents of the smallest hashes; only their texts travel, to a side of that bounded size.
+
+def labelled_sample(ids: DataFrame, docs: DataFrame, per_label: int, total: int = 20_000) -> list[tuple[str, object]]:
+    """(text, label) of documents of every label, the same ones in every run.
+
+    ``ids`` holds (doc_id, label). A label gives the ``per_label`` documents of the smallest hashes, or
+    an equal share of ``total`` where that is less, and at least one. Of the texts that share a doc_id
+    the one of the smallest hash is taken, so they use up one place. Only chosen texts travel.
     """
-    ids = ids.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).select("doc_id", "label")
-    frequent = ids.groupBy("label").count().orderBy(F.desc("count"), "label").limit(labels).select("label")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = ids.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_label).drop("_r")
-    chosen = ranked.join(F.broadcast(frequent), "label").select(F.col("doc_id").alias("_d"), "label").distinct()
+    ids = ids.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).select("doc_id", "label").distinct()
+    labels = ids.agg(F.count_distinct("label")).first()[0]
+    share = max(1, min(per_label, total // max(labels, 1)))
+    chosen = _least(ids, F.struct(F.xxhash64("doc_id"), "doc_id"), "label", share).select(F.col("doc_id").alias("_d"), "label")
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_d")).select("doc_id", "text", "label").distinct()
-    rows = rows.orderBy("doc_id", "text", "label").limit(labels * per_label)
-    return [(r["text"], r["label"]) for r in rows.toLocalIterator()]
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_d")).groupBy("doc_id", "label").agg(
+        F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    return [(r["text"], r["label"]) for r in rows.orderBy("doc_id", "label").toLocalIterator()]

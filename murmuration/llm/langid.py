@@ -3,7 +3,8 @@
 A word is written ``<word>`` and gives its character n-grams; a text is the mean of their
 embeddings, and a linear softmax reads the mean. Training is stochastic gradient descent in numpy
 on a bounded sample of labelled texts. Because mean and softmax input are linear, a trained model
-is one small table of logits per bucket, which tasks apply to whole texts without a shuffle.
+of few languages is one small table of logits per bucket, and one of many a table of embeddings;
+tasks apply it to whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ SLICE_CHARS = 120_000
 
 @dataclass(frozen=True)
 class Training:
-    """``per_language`` and ``languages`` bound the labelled sample; it is chosen by the order of
-    a hash of the text, so reruns and any split of the input choose the same."""
+    """``per_language`` and ``total`` bound the labelled sample; every language takes part, however
+    many there are. It is chosen by the order of a hash, so reruns and any split of the input agree."""
 
     per_language: int = 400
-    languages: int = 200
+    total: int = 20_000
     orders: tuple[int, ...] = (1, 2, 3)
     buckets: int = 1 << 14
     dim: int = 16
@@ -40,8 +41,12 @@ class Training:
 
 @dataclass
 class Model:
+    """``table`` has a row per bucket: its logits, or its embedding where there are more languages than
+    dimensions; ``head`` turns the mean embedding into logits then."""
+
     names: list[str]
-    logits: np.ndarray
+    table: np.ndarray
+    head: np.ndarray | None
     bias: np.ndarray
     temperature: float
     reject_below: float
@@ -55,23 +60,32 @@ def _codes(text: str) -> np.ndarray:
     return np.where(codes == 32, np.uint64(0), codes)
 
 
-def subwords(text: str, orders: tuple[int, ...], buckets: int) -> np.ndarray:
-    """Buckets of the n-grams of all words; n-grams do not reach past a word's marks."""
+def _grams(codes: np.ndarray, n: int, lo: int, hi: int, buckets: int) -> np.ndarray:
+    """Buckets of the n-grams of one word that start at places ``lo`` up to ``hi``."""
+    size = min(hi, len(codes) - n + 1) - lo
+    mixed = np.full(max(size, 0), n, dtype=np.uint64)
+    inside = np.ones(len(mixed), dtype=bool)
+    for i in range(n):
+        part = codes[lo + i:lo + i + len(mixed)]
+        mixed = (mixed ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        if 0 < i < n - 1 or n == 1:
+            inside &= part != 0
+    return (mixed[inside] % np.uint64(buckets)).astype(np.int64)
+
+
+def subword_parts(text: str, orders: tuple[int, ...], buckets: int, size: int = SLICE_CHARS) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams of all words, by where they start, so that no n-gram is lost or cut.
+
+    N-grams do not reach past a word's marks.
+    """
     codes = _codes(text)
-    found = []
-    for n in orders:
-        if len(codes) < n:
-            continue
-        mixed = np.full(len(codes) - n + 1, n, dtype=np.uint64)
-        inside = np.ones(len(mixed), dtype=bool)
-        for i in range(n):
-            part = codes[i:len(codes) - n + 1 + i]
-            mixed = (mixed ^ part) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-            if 0 < i < n - 1 or n == 1:
-                inside &= part != 0
-        found.append((mixed[inside] % np.uint64(buckets)).astype(np.int64))
-    return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+    for lo in range(0, len(codes), size):
+        yield np.concatenate([_grams(codes, n, lo, lo + size, buckets) for n in orders])
+
+
+def subwords(text: str, orders: tuple[int, ...], buckets: int) -> np.ndarray:
+    return np.concatenate(list(subword_parts(text, orders, buckets)))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -115,10 +129,10 @@ def train(rows: list[tuple[str, str]], how: Training = Training()) -> Model | No
             b -= 0.1 * lr * grad
             e[ids] -= lr * weight[:, None] * back * 5
             step += 1
-    logits = e @ w
+    read = lambda ids, weight: (weight @ e[ids]) @ w + b
     temperature, floor = 1.0, 0.0
     if len(held):
-        z = np.array([bags[k][1] @ logits[bags[k][0]] + b for k in held])
+        z = np.array([read(*bags[k][:2]) for k in held])
         y = np.array([bags[k][2] for k in held])
         at = np.arange(len(y))
         grid = np.geomspace(0.5, 8, 17)
@@ -128,7 +142,8 @@ def train(rows: list[tuple[str, str]], how: Training = Training()) -> Model | No
         right = np.cumsum((p.argmax(1) == y)[best]) / np.arange(1, len(y) + 1)
         good = np.flatnonzero(right >= how.accept)
         floor = 0.0 if right[-1] >= how.accept else float(p.max(1)[best[good[-1]]]) if len(good) else 1.0
-    return Model(names, logits.astype(np.float32), b, temperature, floor, how.orders)
+    table, head = (e @ w, None) if len(names) <= how.dim else (e, w)
+    return Model(names, table, head, b, temperature, floor, how.orders)
 
 
 def predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
@@ -138,13 +153,12 @@ def predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
         if not any(c.isalpha() for c in text):
             langs.append(UNDETERMINED)
             continue
-        z, n = model.bias.astype(np.float64), 0
-        total = np.zeros(len(model.names))
-        for lo in range(0, len(text), SLICE_CHARS) if len(text) > SLICE_CHARS else (0,):
-            ids = subwords(text[lo:lo + SLICE_CHARS], model.orders, len(model.logits))
-            total += np.bincount(ids, minlength=len(model.logits)) @ model.logits if len(ids) > 20_000 else model.logits[ids].sum(axis=0)
+        total, n = np.zeros(model.table.shape[1]), 0
+        for ids in subword_parts(text, model.orders, len(model.table)):
+            total += model.table[ids].sum(axis=0, dtype=np.float64)
             n += len(ids)
-        p = _softmax((total / max(n, 1) + z) / model.temperature)
+        mean = total / max(n, 1)
+        p = _softmax(((mean if model.head is None else mean @ model.head) + model.bias) / model.temperature)
         langs.append(model.names[int(p.argmax())])
         scores[i] = p.max()
     return langs, scores
@@ -181,6 +195,6 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 def digest(docs: DataFrame, how: Training = Training()) -> DataFrame:
     rows = docs.select("doc_id", "text", "lang")
     ids = rows.where(~held_out("doc_id", 3, 1)).select("doc_id", F.col("lang").alias("label"))
-    model = train(labelled_sample(ids, rows, how.per_language, how.languages), how)
+    model = train(labelled_sample(ids, rows, how.per_language, how.total), how)
     judged = rows.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "text")
     return identify(judged, model, ("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
