@@ -3,7 +3,7 @@
 A word enters as the embedding of its hash and the mean embedding of its hashed character
 n-grams. Both directions read windows of words, attention pools their states, and one output
 scores the window; a text's score is that of its worst window. All overlapping windows of the
-whole text are scored.
+whole text are scored: one starts at every word.
 
 Training sees only texts with a label for the whole text, so it goes in rounds: score all windows,
 learn from each text's highest window (and one more at random for clean texts), repeat.
@@ -25,6 +25,8 @@ from murmuration.llm.common import besides, held_out, labelled_sample, slices, s
 SLICE_CHARS = 600_000
 # Words whose n-grams are laid out at a time.
 PART = 20_000
+# Windows in work at a time: their states stay in the processor's cache.
+WINDOWS = 2_048
 THRESHOLD = 0.3
 
 
@@ -33,8 +35,7 @@ class Training:
     """``per_label`` bounds the labelled texts per class; the rest is the network and its fitting."""
 
     per_label: int = 1200
-    window: int = 24
-    stride: int = 16
+    window: int = 6
     buckets: int = 1 << 14
     dim: int = 6
     hidden: int = 8
@@ -94,28 +95,29 @@ def _hashed_grams(words: list[str], how: Training) -> tuple[np.ndarray, np.ndarr
 
 
 class Words:
-    """Numbers the distinct words of some texts and lays all their windows out."""
+    """Numbers the distinct words of some texts and lays all their windows out.
+
+    A window starts at every word that has ``window`` words from itself on; a shorter text is one
+    window of its own. Windows are places in the row of all words, not copies of them.
+    """
 
     def __init__(self, texts: list[str], how: Training):
         index: dict[str, int] = {}
-        rows = [[index.setdefault(w, len(index)) for w in t.lower().split()] for t in texts]
+        rows = [np.array([index.setdefault(w, len(index)) for w in t.lower().split()], dtype=np.int64) for t in texts]
         self.words = list(index)
-        t, s = how.window, how.stride
-        at, owner, flat, start = [], [], [], 0
-        for k, row in enumerate(rows):
-            flat += row
-            # Windows start every stride words; the last one ends with the text.
-            firsts = list(range(0, max(len(row) - t, 0) + 1, s)) if row else []
-            if firsts and firsts[-1] + t < len(row):
-                firsts.append(len(row) - t)
-            at += [(start + f, min(t, len(row) - f)) for f in firsts]
-            owner += [k] * len(firsts)
-            start += len(row)
-        self.owner = np.array(owner, dtype=np.int64)
-        spans = np.array(at, dtype=np.int64).reshape(-1, 2)
-        flat = np.array(flat + [0] * t, dtype=np.int64)
-        self.windows = flat[spans[:, :1] + np.arange(t)] if len(spans) else np.zeros((0, t), dtype=np.int64)
-        self.mask = np.arange(t) < spans[:, 1:] if len(spans) else np.zeros((0, t), dtype=bool)
+        t = self.window = how.window
+        lengths = np.array([len(r) for r in rows], dtype=np.int64)
+        self.flat = np.concatenate([*rows, np.zeros(t, dtype=np.int64)])
+        counts = np.where(lengths > 0, np.maximum(lengths - t, 0) + 1, 0)
+        self.owner = np.repeat(np.arange(len(rows)), counts)
+        first = np.cumsum(lengths) - lengths
+        self.starts = np.arange(len(self.owner)) + np.repeat(first - (np.cumsum(counts) - counts), counts)
+        self.sizes = np.minimum(lengths, t)[self.owner]
+
+    def at(self, chosen) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers and mask of the chosen windows."""
+        steps = np.arange(self.window)
+        return self.flat[self.starts[chosen][:, None] + steps], steps < self.sizes[chosen][:, None]
 
 
 class Gru:
@@ -159,6 +161,27 @@ class Gru:
         logit = pooled @ p["o"] + p["b"][0]
         return (logit, (states, e, w, pooled, saved)) if keep else logit
 
+    def slide(self, p: dict, projected: dict, words: np.ndarray, t: int) -> np.ndarray:
+        """Logits of the windows of ``t`` words that start at each of the first len(words) - t + 1 words.
+
+        The windows of one step read neighbouring words, so a step is one slice, without a mask.
+        """
+        n, h = len(words) - t + 1, self.how.hidden
+        states = np.empty((t, n, 2 * h), np.float32)
+        for side, lo in (("f", 0), ("b", h)):
+            x, u, now = projected[side][words], p[f"U{side}"], np.zeros((n, h), np.float32)
+            for i in range(t) if side == "f" else range(t - 1, -1, -1):
+                g = now @ u
+                zr = np.tanh(0.5 * (x[i:i + n, :2 * h] + g[:, :2 * h]))
+                zr = 0.5 * zr + 0.5
+                c = np.tanh(x[i:i + n, 2 * h:] + zr[:, h:] * g[:, 2 * h:])
+                now = c + zr[:, :h] * (now - c)
+                states[i, :, lo:lo + h] = now
+        s = np.tanh(states @ p["A"] + p["a"]) @ p["v"]
+        w = np.exp(s - s.max(axis=0))
+        # The output is linear, so each state is read before pooling instead of after.
+        return (w * (states @ p["o"])).sum(axis=0) / w.sum(axis=0) + p["b"][0]
+
     def grads(self, p: dict, words: dict, windows, mask, memory, d_logit):
         """Gradients of the parameters and of the word features, given that of the logits."""
         states, e, w, pooled, saved = memory
@@ -214,18 +237,33 @@ def _projected(p: dict, x: np.ndarray) -> dict:
     return {s: x @ p[f"W{s}"] + p[f"c{s}"] for s in ("f", "b")}
 
 
+def window_logits(net: Network, x: np.ndarray, laid: Words) -> np.ndarray:
+    """Logits of all windows, in parts; ``x`` holds the features of the distinct words."""
+    projected, gru, t = _projected(net.p, x), Gru(net.how), laid.window
+    logits = np.empty(len(laid.starts), np.float32)
+    whole = laid.sizes == t
+    places = len(laid.flat) - t
+    for lo in range(0, places - t + 1, WINDOWS):
+        hi = min(lo + WINDOWS, places - t + 1)
+        a, b = np.searchsorted(laid.starts, (lo, hi))
+        mine = np.arange(a, b)[whole[a:b]]
+        if len(mine):
+            logits[mine] = gru.slide(net.p, projected, laid.flat[lo:hi + t - 1], t)[laid.starts[mine] - lo]
+    short = np.flatnonzero(~whole)
+    for lo in range(0, len(short), WINDOWS):
+        logits[short[lo:lo + WINDOWS]] = gru.run(net.p, projected, *laid.at(short[lo:lo + WINDOWS]))
+    return logits
+
+
 def text_logits(net: Network, texts: list[str]) -> tuple[np.ndarray, np.ndarray, Words]:
     """Highest window logit per text (-inf without words), all window logits, and the windows."""
     laid = Words(texts, net.how)
     best = np.full(len(texts), -np.inf)
-    if not len(laid.windows):
+    if not len(laid.starts):
         return best, np.zeros(0), laid
-    projected = _projected(net.p, features(net, laid.words)[0])
-    gru, parts = Gru(net.how), []
-    for lo in range(0, len(laid.windows), 4096):
-        parts.append(gru.run(net.p, projected, laid.windows[lo:lo + 4096], laid.mask[lo:lo + 4096]))
-    logits = np.concatenate(parts)
-    np.maximum.at(best, laid.owner, logits)
+    logits = window_logits(net, features(net, laid.words)[0], laid)
+    firsts = np.flatnonzero(np.diff(laid.owner, prepend=-1))
+    best[laid.owner[firsts]] = np.maximum.reduceat(logits, firsts)
     return best, logits, laid
 
 
@@ -260,33 +298,34 @@ def train(rows: list[tuple[str, int]], base_rate: float, how: Training = Trainin
     label = y[fit]
     known = features(net, laid.words)[1:]
     hashed, grams, bounds = known
-    edges = np.searchsorted(laid.owner, np.arange(len(fit) + 1))
-    used = (np.unique(laid.windows[a:b][laid.mask[a:b]]) for a, b in zip(edges, edges[1:]))
+    firsts = np.flatnonzero(np.diff(laid.owner, prepend=-1))
+    edges = np.append(laid.starts[firsts], len(laid.flat) - how.window)
+    used = (np.unique(laid.flat[a:b]) for a, b in zip(edges, edges[1:]))
     net.words[:, 0] = _log_odds((hashed[w] for w in used), label, how.buckets)
-    used = (np.unique(laid.windows[a:b][laid.mask[a:b]]) for a, b in zip(edges, edges[1:]))
+    used = (np.unique(laid.flat[a:b]) for a, b in zip(edges, edges[1:]))
     net.grams[:, 0] = _log_odds((np.concatenate([grams[bounds[i]:bounds[i + 1]] for i in w]) for w in used), label, how.buckets)
     gru = Gru(how)
     net.p = gru.start(rng)
     x = features(net, laid.words, *known)[0]
     guess = x[:, 0] + 2 * x[:, how.dim]
-    scores = np.where(laid.mask, guess[laid.windows], -9).max(axis=1)
+    scores = np.empty(len(laid.starts), np.float32)
+    for lo in range(0, len(scores), WINDOWS):
+        w, m = laid.at(np.arange(lo, min(lo + WINDOWS, len(scores))))
+        scores[lo:lo + WINDOWS] = np.where(m, guess[w], -9).max(axis=1)
     size = np.diff(bounds)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     for k in range(how.rounds):
         if k:
-            x = features(net, laid.words, *known)[0]
-            projected = _projected(net.p, x)
-            scores = np.concatenate([gru.run(net.p, projected, laid.windows[i:i + 4096], laid.mask[i:i + 4096])
-                                     for i in range(0, len(laid.windows), 4096)])
+            scores = window_logits(net, features(net, laid.words, *known)[0], laid)
         by = np.lexsort((-scores, laid.owner))
-        first = by[np.concatenate([[True], laid.owner[by][1:] != laid.owner[by][:-1]])]
+        first = by[firsts]
         clean = np.flatnonzero(label[laid.owner] == 0)
         chosen = np.concatenate([first, rng.choice(clean, min(len(clean), int((label == 0).sum())), replace=False)])
         for _ in range(how.passes):
             for batch in np.array_split(rng.permutation(chosen), max(1, len(chosen) // 64)):
                 step += 1
-                w, m = laid.windows[batch], laid.mask[batch]
+                w, m = laid.at(batch)
                 used, inverse = np.unique(w, return_inverse=True)
                 w = inverse.reshape(w.shape)
                 x = features(net, [laid.words[i] for i in used])[0]
@@ -352,9 +391,9 @@ def score_documents(docs: DataFrame, net: Network | None, keep: tuple[str, ...]
 
 def digest(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> DataFrame:
     rows = docs.select("doc_id", "text")
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2))
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2))
     ids = known.select("doc_id", F.col("toxic").alias("label"))
     rate = ids.agg(F.avg(F.col("label").cast("double"))).first()[0] or 0.0
-    net = train(labelled_sample(ids, rows, how.per_label, 2), rate, how)
+    net = train(labelled_sample(ids, rows, how.per_label), rate, how)
     judged = rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text")
     return score_documents(judged, net, ("doc_id", "held_out"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmuration.llm import importance, langid, toxicity
+from murmuration.llm.common import labelled_sample
 
 from .conftest import prose
 
@@ -37,12 +38,48 @@ def test_language_odd_input(docs, clashing):
     assert nothing["lang_pred"] == "und" and nothing["rejected"]
 
 
-def test_long_text_in_parts_is_whole():
-    text = invented("xx", 1, 60_000)
-    model = langid.train([(invented(lang, i, 30), lang) for i in range(20) for lang in SYLLABLES])
-    whole = langid.subwords(text, model.orders, len(model.logits))
-    assert len(text) > langid.SLICE_CHARS and len(whole) > 0
-    assert langid.predict([text], model)[0] == ["xx"]
+def brute_subwords(text, orders):
+    words = text.lower().split()
+    return sorted(w[i:i + n] for n in orders for w in (["".join(x) for x in words] if n == 1 else [f"\0{x}\0" for x in words])
+                  for i in range(len(w) - n + 1) if n == 1 or "\0" not in w[i + 1:i + n - 1])
+
+
+@pytest.mark.parametrize("n_langs", [3, 20])
+def test_language_matches_plain_computation(n_langs):
+    """Parts of any size give the n-grams of the whole text, one without spaces too, and its prediction."""
+    langs = [f"{lang}{i}" for i in range(7) for lang in SYLLABLES][:n_langs]
+    model = langid.train([(invented(lang[:2], i, 30), lang) for i in range(20) for lang in langs])
+    assert (model.head is None) == (n_langs <= 16)
+    for text in (invented("xx", 1, 40_000), invented("yy", 2, 30_000).replace(" ", ""), "a", "é b"):
+        whole = langid.subwords(text, model.orders, 1 << 30)
+        assert len(whole) == len(brute_subwords(text, model.orders))
+        for size in (1, 2, 3, 50):
+            some = text[:300]
+            parts = np.concatenate(list(langid.subword_parts(some, model.orders, 1 << 30, size)))
+            assert sorted(parts) == sorted(langid.subwords(some, model.orders, 1 << 30))
+        ids = langid.subwords(text, model.orders, len(model.table))
+        rows = model.table if model.head is None else model.table.astype(float) @ model.head
+        z = (sum(rows[i].astype(float) for i in ids) / len(ids) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        lang, score = langid.predict([text], model)
+        assert lang == [model.names[int(p.argmax())]] and score[0] == pytest.approx(p.max(), abs=1e-5)
+
+
+def test_every_language_is_learnt(docs):
+    rows = [(i, invented("xx", i, 6), f"l{i % 230}", "a", 1) for i in range(460)]
+    frame = docs(rows)
+    ids = frame.selectExpr("doc_id", "lang AS label")
+    found = labelled_sample(ids, frame, 400, 100)
+    assert len(found) == 230 and {label for _, label in found} == {f"l{i}" for i in range(230)}
+
+
+def test_shared_ids_take_one_place(docs):
+    rows = [(1, f"text {i}", "xx", "a", 1) for i in range(50)] + [(i, f"own {i}", "yy", "a", 1) for i in range(2, 12)]
+    frame = docs(rows + rows)
+    ids = frame.selectExpr("doc_id", "lang AS label")
+    found = labelled_sample(ids, frame, 8)
+    assert sorted(label for _, label in found) == ["xx"] + ["yy"] * 8
+    assert labelled_sample(ids, docs(rows[::-1]), 8) == found
 
 
 def test_subwords_stay_inside_words():
@@ -79,12 +116,63 @@ def test_network_gradients():
             assert (up - down) / 2e-2 == pytest.approx(grad.reshape(-1)[i], rel=0.03, abs=3e-3), name
 
 
-def test_windows_cover_every_word():
-    how = toxicity.Training(window=4, stride=3)
-    for n in range(0, 25):
-        laid = toxicity.Words([" ".join(f"w{i}" for i in range(n))], how)
-        seen = {laid.words[i] for row, m in zip(laid.windows, laid.mask) for i in row[m]}
-        assert len(seen) == n and (n == 0) == (len(laid.windows) == 0)
+def plain_score(net, text):
+    """One window at a time, one word at a time."""
+    how, p = net.how, net.p
+    words = text.lower().split()
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def word(w):
+        grams, _ = toxicity._hashed_grams([w], how)
+        return np.concatenate([net.words[toxicity._hashed_words([w], how.buckets)[0]], net.grams[grams].mean(axis=0)])
+
+    best = -np.inf
+    for lo in range(max(len(words) - how.window, 0) + 1 if words else 0):
+        xs = [word(w) for w in words[lo:lo + how.window]]
+        sides = []
+        for side, order in (("f", range(len(xs))), ("b", range(len(xs) - 1, -1, -1))):
+            state, seen = np.zeros(how.hidden), {}
+            for i in order:
+                x, g = xs[i] @ p[f"W{side}"] + p[f"c{side}"], state @ p[f"U{side}"]
+                z, r, h = sig(x[:how.hidden] + g[:how.hidden]), sig((x + g)[how.hidden:2 * how.hidden]), 2 * how.hidden
+                state = z * state + (1 - z) * np.tanh(x[h:] + r * g[h:])
+                seen[i] = state
+            sides.append(seen)
+        states = np.array([np.concatenate([sides[0][i], sides[1][i]]) for i in range(len(xs))])
+        s = np.exp(np.tanh(states @ p["A"] + p["a"]) @ p["v"])
+        best = max(best, (s / s.sum()) @ states @ p["o"] + p["b"][0])
+    return 0.0 if best == -np.inf else sig(best - net.shift + np.log(0.3 / 0.7))
+
+
+def trained_network(how):
+    texts = [(prose(i, 5 + i % 40) + (" vexblort " if i % 3 == 0 else " ") + prose(i + 999, 9), int(i % 3 == 0)) for i in range(90)]
+    return toxicity.train(texts, 0.3, how)
+
+
+def test_scores_match_plain_windows(monkeypatch):
+    """Every window of every text, whatever texts and parts it is computed with."""
+    how = toxicity.Training(rounds=1, passes=1, buckets=1 << 10)
+    net = trained_network(how)
+    texts = ["", "one", "vexblort", " \n ", *(prose(i, i) for i in range(1, 30)), prose(5, 300) + " vexblort " + prose(6, 40)]
+    want = [plain_score(net, t) for t in texts]
+    for size in (1, 7, 2_048):
+        monkeypatch.setattr(toxicity, "WINDOWS", size)
+        assert toxicity.scores_of(net, texts) == pytest.approx(want, abs=2e-5)
+    assert [toxicity.scores_of(net, [t])[0] for t in texts] == pytest.approx(want, abs=2e-5)
+    laid = toxicity.Words(texts, how)
+    assert len(laid.starts) == sum(max(len(t.split()) - how.window, 0) + 1 for t in texts if t.split())
+
+
+def test_trained_network_on_odd_rows(clashing, odd_rows):
+    net = trained_network(toxicity.Training(rounds=1, passes=1, buckets=1 << 10))
+    got = toxicity.score_documents(clashing.drop("score"), net, ("doc_id", "text")).collect()
+    scores = {}
+    for r in got:
+        scores.setdefault((r["doc_id"], r["text"]), set()).add(r["score"])
+    assert len(got) == len(odd_rows) and all(len(s) == 1 and 0 <= min(s) <= 1 for s in scores.values())
+    assert scores[1, None] == scores[2, ""] == scores[5, " \t\n "] == {0.0}
+    long = next(t for d, t, *_ in odd_rows if d == 3)
+    assert scores[3, long].pop() == pytest.approx(toxicity.scores_of(net, [long])[0], abs=1e-6)
 
 
 def test_toxicity_held_out(spark, docs):
