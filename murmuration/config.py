@@ -28,6 +28,7 @@ class Settings:
     min_cluster_size: int = 3
     max_embedding_rows: int | None = None
     max_thread_authors: int | None = 80
+    shared_thread_weight: int = 1
     max_features: int = 100_000
     neighbors: int = 10
     candidates: int = 100

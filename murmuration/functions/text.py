@@ -91,14 +91,41 @@ def topic_pattern(words) -> str:
     return "(?:" + "|".join(parts) + ")"
 
 
+# Up to so many keywords a byte search for each is cheaper than cutting the text into words.
+SCANNED_KEYWORDS = 32
+
+
 def topic_hit(text: Column, words) -> Column:
     """True where the lower-cased text holds one of the keywords as a whole word.
 
-    A byte search for the keywords spares most texts the regular expression.
+    A few keywords are searched for one by one, which spares most texts the regular expression. Of
+    many, a text's words are looked up in one set, so the cost does not grow with their number: a
+    keyword without other characters is a hit itself; of every other the longest word must be among
+    the text's words before the regular expression is tried.
     """
-    lowered = F.lower(text)
+    lowered, words = F.lower(text), list(map(str, words))
+    if len(words) <= SCANNED_KEYWORDS:
+        return F.coalesce(_searched(lowered, words), F.lit(False))
+    runs = {w: re.findall(r"\w+", w) for w in words}
+    plain = [w for w in words if runs[w] == [w]]
+    phrases = [w for w in words if runs[w] and runs[w] != [w]]
+    bare = [w for w in words if not runs[w]]
+    firsts = sorted({max(runs[w], key=len) for w in phrases})
+
+    def among(tokens: Column) -> Column:
+        hit = F.exists(tokens, lambda t: t.isin(plain))
+        if phrases:
+            hit = hit | (F.exists(tokens, lambda t: t.isin(firsts)) & lowered.rlike(topic_pattern(phrases)))
+        return hit
+
+    # Bound to a lambda variable, the words are cut once for both look-ups.
+    hit = F.transform(F.array(F.split(lowered, f"[^{WORD}]+")), among)[0]
+    return F.coalesce(hit | _searched(lowered, bare) if bare else hit, F.lit(False))
+
+
+def _searched(lowered: Column, words: list[str]) -> Column:
     somewhere = None
-    for word in map(str, words):
+    for word in words:
         found = lowered.contains(F.lit(word))
         somewhere = found if somewhere is None else somewhere | found
-    return F.coalesce(somewhere & lowered.rlike(topic_pattern(words)), F.lit(False))
+    return somewhere & lowered.rlike(topic_pattern(words))

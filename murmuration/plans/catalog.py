@@ -235,7 +235,7 @@ def ego_neighbors(spark, d):
 
 
 def components(spark, d):
-    return C.connected_components(graph.heavy_edges(edges.shared_thread_edges(_valid(spark, d)), 2))
+    return C.connected_components(edges.shared_thread_edges(_valid(spark, d), min_weight=2))
 
 
 def communities(spark, d):

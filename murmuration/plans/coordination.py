@@ -59,7 +59,8 @@ def _run(spark: SparkSession, raw_dir: str, out_dir: str, settings: Settings, en
     valid = R.valid_activity(activity)
     features = save("account_features", A.account_features(valid, settings))
     replies = save("interaction_edges", edges.reply_edges(valid))
-    shared = save("shared_thread_edges", edges.shared_thread_edges(valid, settings.max_thread_authors))
+    shared = save("shared_thread_edges", edges.shared_thread_edges(
+        valid, settings.max_thread_authors, settings.shared_thread_weight))
     save("skipped_threads", edges.skipped_threads(valid, settings.max_thread_authors))
     save("components", components.connected_components(graph.heavy_edges(shared, settings.network_weight)))
     save("communities", components.communities(shared, settings.community_rounds))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmuration.functions.scores import size_class
+from murmuration.operators.ranking import numbered
 from murmuration.sources import raw as R
 
 
@@ -17,10 +18,8 @@ def listed_subreddits(found: DataFrame, configured: tuple[str, ...] = ()) -> Dat
         [(i, str(name)) for i, name in enumerate(configured)], "position int, subreddit string"
     )
     extra = names.join(fixed.select("subreddit"), "subreddit", "left_anti")
-    # Distinct subreddit names only, gathered into one sorted array and numbered from there.
-    tail = extra.agg(F.sort_array(F.collect_list("subreddit")).alias("names")).select(
-        F.posexplode("names").alias("position", "subreddit")
-    ).select((F.col("position") + len(configured)).alias("position"), "subreddit")
+    tail = numbered(extra, ["subreddit"], "position").select(
+        (F.col("position") + len(configured)).cast("int").alias("position"), "subreddit")
     return fixed.unionByName(tail)
 
 

@@ -55,6 +55,23 @@ def test_shared_threads_match_direct_pairs(activity, monkeypatch, limit):
     assert skipped == {t: len(g) for t, g in groups.items() if limit is not None and len(g) > limit}
 
 
+@pytest.mark.parametrize("limit,weight", [(80, 2), (5, 3), (None, 2)])
+def test_pruned_threads_keep_every_heavy_edge(activity, monkeypatch, limit, weight):
+    monkeypatch.setattr(edges, "BLOCK", 7)
+    rng = random.Random(3)
+    # Regulars of a few threads among many accounts that are seen once.
+    rows = [(f"w{rng.randrange(40):03d}", f"t3_{k}") for k in range(12) for _ in range(1 + k % 7)]
+    rows += [(f"once{k}_{i}", f"t3_{k}") for k in range(0, 12, 2) for i in range(20)] + threads(2, [1, 3])
+    rows += [(f"pair{i}", f"t3_p{k}") for i in range(2) for k in range(3)]
+    frame = activity(*[{"author": a, "link_id": t} for a, t in rows])
+    plain = [r for r in edges.shared_thread_edges(frame, limit).collect() if r["weight"] >= weight]
+    got = edges.shared_thread_edges(frame, limit, weight).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain)) and plain
+    members, left = edges.paired_members(frame, limit), edges.paired_members(frame, limit, weight)
+    assert left.count() < members.count() / 2
+    assert not left.where("author LIKE 'once%'").count()
+
+
 def test_temporal_edges_match_direct_comparison(activity, at, monkeypatch):
     monkeypatch.setattr(edges, "BLOCK", 6)
     chance = random.Random(11)

@@ -64,6 +64,22 @@ def test_topic_hits_follow_word_boundaries(spark):
         assert [row[f"w{i}"] for i in range(len(words))] == want, row["text"]
 
 
+def test_many_keywords_are_looked_up(spark):
+    rng = random.Random(8)
+    odd = ["q.r", "d++", ".io", "mill race", "ß", "a|b", "+-+", "old mill  yard", "_x", "é9"]
+    words = [f"weir{i}" for i in range(60)] + odd
+    glue = ["", " ", "_", ".", "é", "x", "9", "-", "+", "("]
+    texts = ["", " ", "+-+", *("".join(rng.choice(glue) + rng.choice(words + odd * 6 + ["WEIR7", "qxr", "Mill  race", "yard"]) for _ in range(3)) + rng.choice(glue)
+                               for _ in range(400))]
+    assert len(words) > X.SCANNED_KEYWORDS
+    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    for chosen in (words, words[:60], odd * 4, ["+-+"] * 40):
+        got = frame.select("text", X.topic_hit(F.col("text"), chosen).alias("hit")).collect()
+        for row in got:
+            want = any(re.search(r"\b(?:" + re.escape(w) + r")\b", (row["text"] or "").lower()) for w in chosen)
+            assert row["hit"] == want, row["text"]
+
+
 def test_topic_null_case_and_escape(spark):
     assert one(spark, lambda c: X.topic_hit(c, ["weir"]), None) is False
     assert one(spark, lambda c: X.topic_hit(c, ["Weir"]), "weir") is False
