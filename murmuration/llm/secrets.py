@@ -33,11 +33,44 @@ COMPLEMENTS = (
     ("endpoint", r"(?i:https?|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis)://[^\x20\x09-\x0D\"'<>]{3,}|(?i:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._-]{3,}"),
 )
 REACH = 200
+# Matches of one text that are laid out together.
+BLOCK = 128
 KINDS = ("assign", "access", "hex", *(w[0] for w in WEAK))
 
 SPAN = "array<struct<start:int,end:int,kind:string>>"
 
 
+def _blocks(items: Column) -> Column:
+    """A non-empty array cut into arrays of ``BLOCK`` elements."""
+    return F.transform(F.sequence(F.lit(0), F.size(items) - 1, F.lit(BLOCK)), lambda i: F.slice(items, i + 1, BLOCK))
+
+
+def _before(blocks: Column, step) -> Column:
+    """The value that each block starts with: 0, then ``step(value, element)`` over all elements before."""
+    return F.slice(F.aggregate(
+        blocks, F.array(F.lit(0)),
+        lambda acc, b: F.concat(acc, F.array(F.aggregate(b, F.element_at(acc, -1), step)))), 1, F.size(blocks))
+
+
+def _by_blocks(items: Column, step, made, kind: str, then) -> Column:
+    """``made(value, element)`` for all elements in order, where ``step`` carries the value on.
+
+    An array that grows inside ``aggregate`` is copied for each element, so it grows by blocks: the
+    value at each block's start first, then the blocks on their own. ``then`` reads each block's results.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def run(blocks):
+        pairs = F.arrays_zip(blocks.alias("items"), _before(blocks, step).alias("at"))
+        return F.flatten(F.transform(pairs, lambda b: bound(F.aggregate(
+            b["items"], F.struct(b["at"].alias("at"), none.alias("all")),
+            lambda acc, x: F.struct(
+                step(acc["at"], x).alias("at"), F.concat(acc["all"], F.array(made(acc["at"], x))).alias("all")),
+            lambda acc: acc["all"]), then)))
+
+    return bound(items, lambda given: bound(_blocks(given), run))
+
+
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """Spans of the leftmost non-overlapping matches: the text between matches gives the places.
 
@@ -48,21 +81,16 @@ def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
 
     def placed(matches):
         lengths = F.transform(matches, lambda m: F.length(m))
-        gaps = F.transform(between, lambda b: F.length(b))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("all"))
-        walked = F.aggregate(
-            F.arrays_zip(lengths.alias("n"), F.slice(gaps, 1, F.size(matches)).alias("g")), start,
-            lambda acc, x: F.struct(
-                (acc["at"] + x["g"] + x["n"]).alias("at"),
-                F.concat(acc["all"], F.array(F.struct(
-                    (acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["n"]).alias("end")))).alias("all"),
-            ),
-            lambda acc: acc["all"],
-        )
-        whole = F.arrays_zip(walked.alias("s"), matches.alias("m"))
-        passed = whole if keep is None else F.filter(whole, lambda x: keep(x["m"]))
-        return F.transform(passed, lambda x: F.struct(
-            x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), F.lit(kind).alias("kind")))
+        gaps = F.slice(F.transform(between, lambda b: F.length(b)), 1, F.size(matches))
+        return _by_blocks(
+            F.arrays_zip(matches.alias("m"), lengths.alias("n"), gaps.alias("g")),
+            lambda at, x: at + x["g"] + x["n"],
+            lambda at, x: F.struct(
+                (at + x["g"]).alias("start"), (at + x["g"] + x["n"]).alias("end"), x["m"].alias("m")),
+            "struct<start:int,end:int,m:string>",
+            lambda found: F.transform(
+                found if keep is None else F.filter(found, lambda x: keep(x["m"])),
+                lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"))))
 
     none = F.array().cast(SPAN)
     return F.when(~text.rlike(pattern), none).otherwise(bound(found, lambda m: placed(m)))
@@ -82,8 +110,10 @@ def base_spans(text: Column) -> Column:
 def _ordered(spans: Column) -> Column:
     rank = lambda k: F.array_position(F.array(*[F.lit(x) for x in KINDS]), k)
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+    # Equal spans are neighbours once sorted.
+    first = lambda every: F.filter(every, lambda s, i: (i == 0) | (s != F.get(every, i - 1)))
     return F.transform(
-        F.sort_array(F.array_distinct(keyed)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+        bound(F.sort_array(keyed), first), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
 def weak_parts(text: Column) -> tuple[Column, Column]:
@@ -158,17 +188,33 @@ def _parts(docs: DataFrame, column: str, keep: tuple[str, ...]) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by ``<kind>``; overlapping spans are masked as one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(
-        spans, start,
-        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
-            s["end"].alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(
-                acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]),
-                F.lit("<"), s["kind"], F.lit(">"))).alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    """The text with every span replaced by ``<kind>``; overlapping spans are masked as one.
+
+    ``spans`` is not empty. A block of spans reads its own stretch of the text, since reaching a
+    place in a text costs its distance from the start.
+    """
+    reach = lambda at, s: F.greatest(at, s["end"])
+
+    def piece(part, origin, at, s):
+        """What a span adds: the text since the last one and its mark, or nothing inside a masked stretch."""
+        return F.when(s["start"] < at, F.lit("")).otherwise(F.concat(
+            F.substring(part, at - origin + 1, s["start"] - at), F.lit("<"), s["kind"], F.lit(">")))
+
+    def one(b):
+        stretch = F.substring(text, b["at"] + 1, F.greatest(F.lit(0), F.element_at(b["items"], -1)["start"] - b["at"]))
+        walk = lambda part: F.aggregate(
+            b["items"], F.struct(b["at"].alias("at"), F.lit("").alias("out")),
+            lambda acc, s: F.struct(
+                reach(acc["at"], s).alias("at"), F.concat(acc["out"], piece(part, b["at"], acc["at"], s)).alias("out")),
+            lambda acc: acc["out"])
+        return bound(stretch, walk)
+
+    def run(blocks):
+        pairs = F.arrays_zip(blocks.alias("items"), _before(blocks, reach).alias("at"))
+        return F.array_join(F.transform(pairs, one), "")
+
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return F.concat(bound(spans, lambda given: bound(_blocks(given), run)), F.substring(text, end + 1, F.length(text)))
 
 
 def mask_secrets(docs: DataFrame, column: str = "text") -> DataFrame:
