@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from murmuration.config import Settings
 from murmuration.functions.text import topic_hit
+from murmuration.session import write_stage
 
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
@@ -56,7 +57,8 @@ def median_gaps(valid: DataFrame) -> DataFrame:
     Gaps are binned by size, at most a thousand bins for an account; the bins that hold the middle
     one or two gaps are found from the bins' counts, and only their gaps are put in order.
     """
-    counted = _gaps(valid).withColumn("bin", F.floor(F.log2(F.col("gap") + 1) * 16))
+    # Read twice below, so it is counted once and written: at most one row per gap of an author.
+    counted = write_stage(_gaps(valid), "gaps").withColumn("bin", F.floor(F.log2(F.col("gap") + 1) * 16))
     bins = counted.groupBy("author", "bin").agg(F.sum("n").alias("held"))
     whole = Window.partitionBy("author")
     placed = bins.withColumns({
@@ -104,15 +106,17 @@ def account_features(valid: DataFrame, settings: Settings) -> DataFrame:
         F.coalesce(F.max(placed) / F.sum(placed), F.lit(0.0)).alias("max_subreddit_share"),
         *[(F.sum(name) / F.sum("rows")).alias(name) for name in topics],
     )
+    # Three steps read these columns; written once, they spare those steps whatever ``valid`` is made of.
+    narrow = write_stage(valid.select("author", "link_id", "created_dt"), "account_rows")
     threads = (
-        valid.where(F.col("link_id").isNotNull()).select("author", "link_id").distinct()
+        narrow.where(F.col("link_id").isNotNull()).select("author", "link_id").distinct()
         .groupBy("author").agg(F.count(F.lit(1)).alias("thread_count"))
     )
     # One value over all rows: an uncorrelated scalar subquery, never joined.
-    latest = valid.agg(F.max(_us("created_dt"))).scalar()
+    latest = narrow.agg(F.max(_us("created_dt"))).scalar()
     span = (_us("author_last_seen") - _us("author_first_seen")) / DAY_US
     age = (latest - _us("author_first_seen")) / DAY_US
-    joined = base.join(threads, "author", "left").join(median_gaps(valid), "author", "left")
+    joined = base.join(threads, "author", "left").join(median_gaps(narrow), "author", "left")
     return joined.select(
         "author", "activity_count", "post_count", "comment_count", "subreddit_count",
         F.coalesce("thread_count", F.lit(0)).alias("thread_count"),
