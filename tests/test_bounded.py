@@ -3,7 +3,11 @@
 import numpy as np
 import pyarrow as pa
 
-from murmuration.operators import density, tfidf, tiles
+from pyspark.sql import functions as F
+
+from murmuration.config import Settings
+from murmuration.functions import text as X
+from murmuration.operators import accounts, components, density, edges, tfidf, tiles
 
 
 def test_texts_are_counted_in_parts(monkeypatch):
@@ -46,3 +50,27 @@ def test_hits_come_in_slabs():
     found = list(density._hits(tile, tile, True, 0.9))
     assert sum(len(i) for i, _, _ in found) == 1100 * 1099 // 2
     assert max(len(i) for i, _, _ in found) <= 512 * 1100
+
+
+def test_pairs_are_counted_in_more_tasks_where_there_are_more(spark, activity, monkeypatch):
+    monkeypatch.setattr(edges, "PAIRS_PER_TASK", 3)
+    valid = activity(*[{"id": str(i), "author": f"u{i}", "link_id": "t"} for i in range(12)])
+    found = edges.shared_thread_edges(valid)
+    assert "RepartitionByExpression [link_id" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert edges.tasks_for(spark, 66) == 22
+    assert found.count() == 66
+    labels = {r["account"]: r["community"] for r in components.communities(found, 1).collect()}
+    assert labels == {f"u{i}": "u0" if i else "u1" for i in range(12)}
+
+
+def test_features_read_their_rows_twice_at_most(activity):
+    valid = activity({"id": "1"}, {"id": "2"}).withColumn("text", F.expr("concat('heavy', rand(3))"))
+    plan = accounts.account_features(valid, Settings(topics={"one": ("word",)}))._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("LogicalRDD") + plan.toString().count("LocalRelation") <= 1
+
+
+def test_keywords_between_spaces_skip_the_regular_expression(spark):
+    texts = ["to the lock", "theatre", "the", "a the.", "lathe the-", "bathe them", "c++ x", "c++"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(X.topic_hit(F.col("t"), ("the", "c++")).alias("h"))
+    assert [r["h"] for r in got.collect()] == [True, False, True, True, True, False, False, False]
+    assert "Contains(lower(t" in got._jdf.queryExecution().optimizedPlan().toString() and "the " in X.topic_hit(F.col("t"), ("the",))._jc.toString()
