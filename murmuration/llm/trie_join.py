@@ -15,7 +15,8 @@ is merged. A second pass takes what is still in different components: the other
 and classes that run down tries of blocks of the larger component and stop at their first hit, as one
 link joins both. So every link between different components is found, while a group of thousands of near
 copies never meets pair by pair. Before sets travel, a pair of rare shingles must share a number of its
-first shingles that follows from both sizes. In the second pass the place of a common shingle must leave
+first shingles that follows from both sizes. What travels is the packed text, of which a word takes
+fewer bytes than the number of a shingle; a block makes the sets of its texts anew. In the second pass the place of a common shingle must leave
 room for the overlap: the first common shingle of a similar pair always does, and a passage that many
 different texts share, ordered last, does not.
 """
@@ -23,7 +24,8 @@ different texts share, ordered last, does not.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import islice
 
@@ -79,7 +81,7 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     numbers times a number of their place, a shingle's the mixed sum over its words. A shorter
     text is one shingle, a text without words none.
     """
-    column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary())
     ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
     raw = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[ends[0]:ends[-1]]
     ends = ends - ends[0]
@@ -312,8 +314,8 @@ def _filter_words(chosen: DataFrame) -> np.ndarray:
     return words
 
 
-def _ordered_sets(order, words):
-    """The sets that pass the filter; it may let a few more through, which no pair asks for."""
+def _packed_texts(words):
+    """The packed texts of sets that pass the filter; it may let a few more through, which no pair asks for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
@@ -328,11 +330,29 @@ def _ordered_sets(order, words):
             if len(seen) < CHUNK:
                 seen.update(cls[at].tolist())
             if len(at):
-                ordered = [order.value.sort(sets[i])[::-1].tobytes() for i in at.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(ordered, pa.binary())], names=["cls", "ordered"])
+                texts = batch.column("text").cast(pa.large_binary())
+                packed = [zlib.compress(texts[i].as_py(), 6) for i in at.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(packed, pa.binary())], names=["cls", "packed"])
     return run
 
 
+def _unpacked(packed: Iterable[bytes], order: Order) -> Iterator[list[int]]:
+    """The set of every packed text, frequent shingles first. About a million bytes are read at once."""
+    held, size = [], 0
+
+    def ordered():
+        return [order.sort(x)[::-1].tolist() for x in shingle_sets(pa.array(held, pa.binary()))]
+
+    for part in packed:
+        held.append(zlib.decompress(part))
+        size += len(held[-1])
+        if size >= CHUNK:
+            yield from ordered()
+            held, size = [], 0
+    if held:
+        yield from ordered()
+
+
 def _pair_blocks(pairs: DataFrame) -> DataFrame:
     """(label, block, cls, hits) of pairs (leader, member): a leader asks blocks of its members for all hits.
 
@@ -359,16 +379,15 @@ def _routes(*blocks: DataFrame) -> DataFrame:
     return write_stage(rows.join(parts, ["label", "block"]).select("label", "block", "cls", "hits", part.alias("part")), "routes")
 
 
-def _verify(routes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verify(routes: DataFrame, texts: DataFrame, order, percent: int) -> DataFrame:
     """(source, target): at most ``hits`` links for each row that asks a block holding sets similar to its own.
 
     One is as good as all where a block has the members of one component. A block is stored as one trie.
     """
     def run(key, group):
-        whole = [np.frombuffer(b, dtype=np.int64).tolist() for b in group["ordered"]]
-        # The sets may hold a class more than once.
+        # A class may come with more than one text.
         held, asked = {}, {}
-        for cls, hits, sequence in zip(group["cls"].tolist(), group["hits"].tolist(), whole):
+        for cls, hits, sequence in zip(group["cls"].tolist(), group["hits"].tolist(), _unpacked(group["packed"], order.value)):
             if hits:
                 asked[cls] = hits, sequence
             else:
@@ -379,7 +398,7 @@ def _verify(routes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             found += [(cls, label) for label in islice(others, hits)]
         return pd.DataFrame(found, columns=["source", "target"], dtype="int64")
 
-    return routes.join(sets, "cls").groupBy("label", "block", "part").applyInPandas(run, "source long, target long")
+    return routes.join(texts, "cls").groupBy("label", "block", "part").applyInPandas(run, "source long, target long")
 
 
 def _sizes_allow(a: str, b: str, percent: int) -> Column:
@@ -426,10 +445,13 @@ def _stars(crowded: DataFrame) -> DataFrame:
     return blocks
 
 
-def _best(counted: DataFrame) -> DataFrame:
-    """(leader, member): for every member the PARTNERS it has most in common with."""
+def _ranked(counted: DataFrame) -> DataFrame:
+    """(leader, member, rank): a member's leaders by what it has in common with them.
+
+    The first pass takes the PARTNERS it has most in common with, the second the others.
+    """
     best = Window.partitionBy("member").orderBy(F.desc("common"), "leader")
-    return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= PARTNERS).select("leader", "member")
+    return counted.select("leader", "member", F.row_number().over(best).alias("rank"))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -470,12 +492,12 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
     hits = write_stage(grouped.withColumn("others", F.when(F.col("crowd") <= CROWD, later)), "hits")
     crowded = hits.where(F.col("crowd") > CROWD)
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """Ordered sets of the wanted classes, read from the texts once more."""
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """Packed texts of the wanted classes, read once more."""
         chosen = wanted.distinct().join(classes, "cls")
         words = context.broadcast(_filter_words(chosen.select("cls", "first")))
         return write_stage(texts.select("text", _number(F.col("doc_id")).alias("number")).mapInArrow(
-            _ordered_sets(order, words), "cls long, ordered binary"), "sets")
+            _packed_texts(words), "cls long, packed binary"), "packed")
 
     # Shingles of few classes: all pairs, counted. Those of many can only add as many as both sets have.
     late = write_stage(crowded.groupBy("cls").agg(F.count(F.lit(1)).alias("late")), "late")
@@ -487,18 +509,18 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
     counted = counted.join(late, "cls", "left").join(
         late.select(F.col("cls").alias("other_cls"), F.col("late").alias("other_late")), "other_cls", "left")
     added = F.least(F.coalesce("late", F.lit(0)), F.coalesce("other_late", F.lit(0)))
-    few = write_stage(counted.where(F.col("common") + added >= F.col("need")).select(
-        F.col("cls").alias("leader"), F.col("other_cls").alias("member"), "common"), "few")
+    few = write_stage(_ranked(counted.where(F.col("common") + added >= F.col("need")).select(
+        F.col("cls").alias("leader"), F.col("other_cls").alias("member"), "common")), "few")
     discard(late)
-    stars, pairs = _stars(crowded), write_stage(_best(few), "pairs")
-    routes = _routes(stars, _pair_blocks(pairs))
-    sets = sets_of(routes.select("cls"))
-    links = write_stage(_verify(routes, sets, percent), "links")
-    discard(stars, pairs, sets, routes)
+    stars = _stars(crowded)
+    routes = _routes(stars, _pair_blocks(few.where(F.col("rank") <= PARTNERS)))
+    packed = texts_of(routes.select("cls"))
+    links = write_stage(_verify(routes, packed, order, percent), "links")
+    discard(stars, packed, routes)
     labels = write_stage(connected_components(links), "labels")
 
-    # The second pass: what is still apart, in the shingles of few classes and in those of many.
-    pairs = write_stage(_apart(few, labels), "pairs")
+    # The second pass: what is still apart and was not compared, in the shingles of few classes and in those of many.
+    pairs = write_stage(_apart(few.where(F.col("rank") > PARTNERS), labels), "pairs")
     discard(few)
     named = crowded.join(labels, F.col("cls") == F.col("account"), "left").select(
         "token", "cls", "size", "place", F.coalesce("component", "cls").alias("label"))
@@ -518,9 +540,9 @@ def similar_classes(docs: DataFrame, column: str = "text", percent: int = PERCEN
     held = held.join(probes.select("label", "block").distinct(), ["label", "block"], "left_semi")
     routes = _routes(probes, held, _pair_blocks(pairs))
     discard(mixed, probes, pairs)
-    sets = sets_of(routes.select("cls"))
-    more = write_stage(_verify(routes, sets, percent), "links")
-    discard(sets, routes)
+    packed = texts_of(routes.select("cls"))
+    more = write_stage(_verify(routes, packed, order, percent), "links")
+    discard(packed, routes)
     return rows, connected_components(links.unionByName(more))
 
 
@@ -557,7 +579,8 @@ def one_of_each(docs: DataFrame, column: str = "text", percent: int = PERCENT) -
     joined = jaccard_join(keyed.select(F.col("_mm_key").alias("doc_id"), column), column, percent)
     ids = joined.where("doc_id = component_id").select(F.col("doc_id").alias("_mm_id")).distinct()
     chosen = keyed.join(ids, F.col("_mm_key") == F.col("_mm_id"), "left_semi")
-    return chosen.dropDuplicates(["doc_id", column]).select(*docs.columns)
+    # The key stands for doc_id and text: rows alike are already in one task, so texts are shuffled once.
+    return chosen.dropDuplicates(["_mm_key", column]).select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -101,6 +101,42 @@ def test_a_large_group_of_near_copies(docs):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == components(rows)
 
 
+def test_what_travels_is_packed_and_compared_once(docs, monkeypatch):
+    """Pairs found unlike in the first pass stay away from the second; a class travels in fewer bytes than its set."""
+    travelled, verify = [], trie_join._verify
+
+    def seen(routes, sets, *rest):
+        travelled.append(sets.select("cls", F.length(sets.columns[1]).alias("n")).collect())
+        return verify(routes, sets, *rest)
+
+    monkeypatch.setattr(trie_join, "_verify", seen)
+    rows = []
+    for i in range(20):
+        base = prose(400 + i, 300)
+        # About one word in sixty changed: most shingles are shared, too few for a link.
+        rows += [(2 * i, base), (2 * i + 1, varied(base, i, 16))]
+    got = trie_join.digest(docs([(d, t, "en", "a", 1) for d, t in rows])).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == components(rows)
+    sizes = {r["doc_id"]: r["n_shingles"] for r in got}
+    assert travelled[0] and sum(r["n"] for r in travelled[0]) < 4 * sum(sizes.values())
+    assert len(travelled) == 1
+
+
+def test_packed_texts_give_their_sets_again(monkeypatch):
+    texts = [prose(i, 40 + i).encode() for i in range(30)] + [b"one two", "É é\u3000x y z w".encode(), b"\xff\xfe a b c d e f"]
+    want = trie_join.shingle_sets(trie_join.pa.array(texts, trie_join.pa.binary()))
+    order = trie_join.Order(np.sort(want[0][:5]), np.arange(5)[::-1])
+    for chunk in (1 << 20, 100):
+        monkeypatch.setattr(trie_join, "CHUNK", chunk)
+        got = list(trie_join._unpacked([trie_join.zlib.compress(t) for t in texts], order))
+        assert got == [order.sort(x)[::-1].tolist() for x in want]
+
+
+def test_texts_of_one_of_each_are_shuffled_once(docs):
+    kept = trie_join.one_of_each(docs([(i, prose(i, 30), "en", "a", 1) for i in range(20)]).repartition(2))
+    assert "hashpartitioning(doc_id" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_passage_shared_by_many_short_texts(docs):
     passage = prose(71, 60)
     rows = [(i, f"{prose(500 + i, 1 + i % 28)} {passage} {prose(900 + i, i % 5)}") for i in range(300)]
