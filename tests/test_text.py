@@ -107,3 +107,15 @@ def test_eligible_rows(activity):
     cases = [(str(i), rng.choice(["[deleted]", "kim", "lou"]), "q" * rng.randrange(8, 16)) for i in range(40)]
     got = R.eligible_activity(activity(*[{"id": i, "author": a, "text": t} for i, a, t in cases]), 12).collect()
     assert sorted((r["id"], r["norm_text"]) for r in got) == sorted((i, t) for i, a, t in cases if a != "[deleted]" and len(t) >= 12)
+
+
+def test_spaces_collapse_as_split_and_join(spark):
+    rng = random.Random(5)
+    signs = " \t\n\x0b\x1c\x1f\x85\xa0\u2003\u3000   ab~!é中\U0001f600\u200b\x00\x7f"
+    texts = ["".join(rng.choices(signs, k=rng.randrange(12))) for _ in range(4000)] + ["", " ", "\n", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.collapse_spaces(F.col("t")).alias("c")).collect()
+    assert all(r["c"] == (None if r["t"] is None else " ".join(r["t"].split())) for r in got)
+
+
+def test_visible_ascii_is_passed_over_before_any_range_is_tried():
+    assert "(?![!-~])(?! [!-~])" in str(X.collapse_spaces(F.col("t")))
